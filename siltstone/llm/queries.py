@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import p1_entities, p2_addresses, p3_components, p4_neighbours, p5_names, p6_survivor
+from . import p1_entities, p2_addresses, p3_components, p4_neighbours, p5_names, p6_survivor, p7_canonical
 
-_MODULES = (p1_entities, p2_addresses, p3_components, p4_neighbours, p5_names, p6_survivor)
+_MODULES = (p1_entities, p2_addresses, p3_components, p4_neighbours, p5_names, p6_survivor, p7_canonical)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
