@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import p10_sentences, p1_entities, p2_addresses, p3_components, p4_neighbours, p5_names, p6_survivor, p7_canonical
+from . import p10_sentences, p1_entities, p2_addresses, p3_components, p4_neighbours, p5_names, p6_survivor, p7_canonical, p8_packing, p9_mixing
 
-_MODULES = (p10_sentences, p1_entities, p2_addresses, p3_components, p4_neighbours, p5_names, p6_survivor, p7_canonical)
+_MODULES = (p10_sentences, p1_entities, p2_addresses, p3_components, p4_neighbours, p5_names, p6_survivor, p7_canonical, p8_packing, p9_mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
