@@ -6,7 +6,7 @@ itself where the standardiser keeps what it can't parse.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -89,33 +89,40 @@ def normalize_city(c: Column) -> Column:
     return F.when(~is_empty(c, SHORT_NULLS), title_words(c))
 
 
+def bind(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 def parse_date(c: Column, dayfirst_iso: bool = False) -> Column:
     """S3: a date as ISO text, null if unreadable or outside 1900-2100.
 
     Year first is read as ISO (``dayfirst_iso`` swaps day and month where both are at most 12, as day-first parsers do);
     otherwise the day comes first unless that gives no date. Years of two digits from 70 on are 1970 to 1999.
     """
-    s = trimmed(c)
     iso, dmy = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?:[T ].*)?$", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$"
     text = r"^(\d{1,2})(?:st|nd|rd|th)?[ -]+([A-Za-z]{3})[a-z]*\.?,?[ -]+(\d{4})$"
     month_first = r"^([A-Za-z]{3})[a-z]*\.?[ -]+(\d{1,2})(?:st|nd|rd|th)?,?[ -]+(\d{4})$"
-    g = lambda p, k: F.regexp_extract(s, p, k)
-    num = lambda x: F.when(x != "", x.try_cast("int"))
     months = F.array(*[F.lit(m) for m in ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")])
-    month = lambda x: F.nullif(F.array_position(months, F.lower(x)).cast("int"), F.lit(0))
-
-    def built(y: Column, m: Column, d: Column) -> Column:
-        last = F.when(m.isin(4, 6, 9, 11), 30).when((m == 2) & ((y % 4 != 0) | ((y % 100 == 0) & (y % 400 != 0))), 28).when(m == 2, 29).otherwise(31)
-        ok = y.between(1900, 2100) & m.between(1, 12) & (d >= 1) & (d <= last)
-        return F.when(ok, F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")))
-
-    y, m, d = (num(g(iso, k)) for k in (1, 2, 3))
-    first = F.coalesce(built(y, d, m), built(y, m, d)) if dayfirst_iso else F.coalesce(built(y, m, d), built(y, d, m))
-    a, b, yy = (num(g(dmy, k)) for k in (1, 2, 3))
-    year = F.when(F.length(g(dmy, 3)) == 2, yy + F.when(yy >= 70, 1900).otherwise(2000)).otherwise(yy)
-    numeric = F.coalesce(built(year, b, a), built(year, a, b))
-    worded = F.coalesce(built(num(g(text, 3)), month(g(text, 2)), num(g(text, 1))), built(num(g(month_first, 3)), month(g(month_first, 1)), num(g(month_first, 2))))
-    return F.when(F.length(s) >= 4, F.coalesce(first, numeric, worded))
+
+    def valid(e: Column) -> Column:
+        y, m, d = e["y"], e["m"], e["d"]
+        last = F.when(m.isin(4, 6, 9, 11), 30).when(m != 2, 31).when((y % 4 != 0) | ((y % 100 == 0) & (y % 400 != 0)), 28).otherwise(29)
+        return y.between(1900, 2100) & m.between(1, 12) & (d >= 1) & (d <= last)
+
+    def read(s: Column) -> Column:
+        num = lambda p, k: F.regexp_extract(s, p, k).try_cast("int")
+        month = lambda p, k: F.array_position(months, F.lower(F.regexp_extract(s, p, k))).cast("int")
+        date = lambda y, m, d: F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
+        y, m, d = (num(iso, k) for k in (1, 2, 3))
+        a, b, yy = (num(dmy, k) for k in (1, 2, 3))
+        year = F.when(F.length(F.regexp_extract(s, dmy, 3)) == 2, yy + F.when(yy >= 70, 1900).otherwise(2000)).otherwise(yy)
+        first = [date(y, d, m), date(y, m, d)] if dayfirst_iso else [date(y, m, d), date(y, d, m)]
+        rest = [date(year, b, a), date(year, a, b), date(num(text, 3), month(text, 2), num(text, 1)), date(num(month_first, 3), month(month_first, 1), num(month_first, 2))]
+        best = F.get(F.filter(F.array(*first, *rest), valid), 0)
+        return F.when(F.length(s) >= 4, bind(best, lambda e: F.when(e.isNotNull(), F.concat_ws("-", e["y"].cast("string"), F.lpad(e["m"].cast("string"), 2, "0"), F.lpad(e["d"].cast("string"), 2, "0")))))
+
+    return bind(trimmed(c), read)
 
 
 def standardize_date(c: Column, dayfirst_iso: bool = False) -> Column:
