@@ -216,9 +216,10 @@ def drop_repeated_lines(c: Column) -> Column:
 
 def dedupe_phrases(c: Column) -> Column:
     """``X and X`` becomes ``X``; a sentence that repeats an earlier one, whatever its case, is dropped."""
-    once = F.regexp_replace(squeezed(c), r"(?i)\b(.{3,}?)\s+and\s+\1\b", "$1")
+    once = F.regexp_replace(squeezed(c), r"(?i)^(.+?)\s+and\s+\1(?:\.|\s*)$", "$1")
     parts = F.filter(F.split(once, r"(?<=[.!?])\s+"), lambda x: x != "")
-    first = F.filter(parts, lambda x, i: F.array_position(F.transform(parts, lambda y: F.lower(F.regexp_replace(y, r"[.!?]+$", ""))), F.lower(F.regexp_replace(x, r"[.!?]+$", ""))) == i + 1)
+    low = lambda ps: F.transform(ps, lambda y: F.lower(F.regexp_replace(y, r"[.!?]+$", "")))
+    first = bind(parts, lambda ps: bind(low(ps), lambda ls: F.filter(ps, lambda x, i: F.array_position(ls, F.get(ls, i)) == i + 1)))
     return F.array_join(first, " ")
 
 
@@ -241,6 +242,10 @@ def suffix_mark(c: Column) -> Column:
 
 def string_similarity(a: Column, b: Column) -> Column:
     """S24, on texts in match form."""
+    return bind(F.struct(a.alias("a"), b.alias("b")), lambda e: _similarity(e["a"], e["b"]))
+
+
+def _similarity(a: Column, b: Column) -> Column:
     sa, sb = suffix_mark(a), suffix_mark(b)
     ta, tb = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
     jac = F.size(F.array_intersect(ta, tb)) / F.greatest(F.size(F.array_union(ta, tb)), F.lit(1))

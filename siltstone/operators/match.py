@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,25 +27,36 @@ def _side(side: str, c: str) -> Column:
     return F.col(f"{side}.`{c}`").cast("string")
 
 
-def compare(columns: Sequence[str], a: str = "a", b: str = "b") -> dict[str, Column]:
-    """M1 over the columns of the aliases ``a`` and ``b``: ``matched`` and ``conflicting`` field names, ``confidence``."""
+def _forms(c: str, a: str, b: str) -> Column:
+    """Both sides of a field in match form, null where empty."""
+    x, y = _side(a, c), _side(b, c)
+    return F.struct(F.when(~S.is_empty(x), S.match_form(x)).alias("x"), F.when(~S.is_empty(y), S.match_form(y)).alias("y"))
+
+
+def _cell(c: str, fuzzy: bool) -> Callable[[Column], Column]:
+    def read(e: Column) -> Column:
+        x, y = e["x"], e["y"]
+        near = S.bind(S.string_similarity(x, y), lambda s: F.when(s >= 0.70, s)) if fuzzy else F.lit(None).cast("double")
+        return F.when(x.isNotNull() & y.isNotNull(), F.struct(F.lit(c).alias("f"), F.lit(S.field_weight(c)).alias("w"), F.when(x == y, 1.0).otherwise(near).alias("s")))
+
+    return read
+
+
+def compare(columns: Sequence[str], a: str = "a", b: str = "b") -> Column:
+    """M1 over the columns of ``a`` and ``b``: a struct of ``matched`` and ``conflicting`` names, ``confidence`` and ``weights``."""
     cells = []
     for c in columns:
-        x, y = _side(a, c), _side(b, c)
-        both = ~S.is_empty(x) & ~S.is_empty(y)
-        fx, fy = S.match_form(x), S.match_form(y)
-        sim = F.when(fx == fy, 1.0)
-        if any(f in _token(c) for f in FUZZY):
-            near = S.string_similarity(fx, fy)
-            sim = sim.when(near >= 0.70, near)
-        cells.append(F.when(both, F.struct(F.lit(c).alias("f"), F.lit(S.field_weight(c)).alias("w"), sim.alias("s"))))
-    live = F.array_compact(F.array(*cells))
-    matched, wrong = F.filter(live, lambda e: e["s"].isNotNull()), F.filter(live, lambda e: e["s"].isNull())
-    total = F.aggregate(live, F.lit(0.0), lambda t, e: t + e["w"])
-    got = F.aggregate(matched, F.lit(0.0), lambda t, e: t + e["w"] * e["s"])
-    base = F.when(total > 0, F.least(F.lit(0.99), F.round(got / total, 2))).otherwise(0.0)
-    floor = F.when((F.size(wrong) == 0) & (F.size(matched) >= 3), 0.95).when((F.size(wrong) == 0) & (F.size(matched) == 2), 0.85).otherwise(0.0)
-    return {"matched": F.transform(matched, lambda e: e["f"]), "conflicting": F.transform(wrong, lambda e: e["f"]), "confidence": F.greatest(base, floor), "weights": F.transform(matched, lambda e: e["w"])}
+        fuzzy = any(f in _token(c) for f in FUZZY)
+        cells.append(S.bind(_forms(c, a, b), _cell(c, fuzzy)))
+    def judge(live: Column) -> Column:
+        matched, wrong = F.filter(live, lambda e: e["s"].isNotNull()), F.filter(live, lambda e: e["s"].isNull())
+        total = F.aggregate(live, F.lit(0.0), lambda t, e: t + e["w"])
+        got = F.aggregate(matched, F.lit(0.0), lambda t, e: t + e["w"] * e["s"])
+        base = F.when(total > 0, F.least(F.lit(0.99), F.round(got / total, 2))).otherwise(0.0)
+        floor = F.when((F.size(wrong) == 0) & (F.size(matched) >= 3), 0.95).when((F.size(wrong) == 0) & (F.size(matched) == 2), 0.85).otherwise(0.0)
+        return F.struct(F.transform(matched, lambda e: e["f"]).alias("matched"), F.transform(wrong, lambda e: e["f"]).alias("conflicting"), F.greatest(base, floor).alias("confidence"), F.transform(matched, lambda e: e["w"]).alias("weights"))
+
+    return S.bind(F.array_compact(F.array(*cells)), judge)
 
 
 def merge(columns: Sequence[str], a: str = "a", b: str = "b") -> tuple[Column, Column]:
@@ -58,16 +69,14 @@ def merge(columns: Sequence[str], a: str = "a", b: str = "b") -> tuple[Column, C
 
 def conflicting_ids(columns: Sequence[str], a: str = "a", b: str = "b") -> Column:
     """M3: an id column differs, or a name column is less than 0.65 alike."""
-    out = F.lit(False)
+    tests = []
     for c in columns:
-        t, x, y = _token(c), _side(a, c), _side(b, c)
-        both = ~S.is_empty(x) & ~S.is_empty(y)
-        fx, fy = S.match_form(x), S.match_form(y)
+        t = _token(c)
         if t.endswith("id") or t in ID_COLUMNS:
-            out = out | (both & (fx != fy))
+            tests.append(S.bind(_forms(c, a, b), lambda e: F.coalesce(e["x"] != e["y"], F.lit(False))))
         if t in NAME_COLUMNS:
-            out = out | (both & (fx != fy) & (S.string_similarity(fx, fy) < 0.65))
-    return out
+            tests.append(S.bind(_forms(c, a, b), lambda e: F.coalesce((e["x"] != e["y"]) & (S.string_similarity(e["x"], e["y"]) < 0.65), F.lit(False))))
+    return F.exists(F.array(*tests), lambda x: x) if tests else F.lit(False)
 
 
 def first_pairs(df: DataFrame, most: int = MAX_COMPARISONS, order: str = RID) -> DataFrame:
@@ -106,9 +115,8 @@ def match_records(pairs: DataFrame, columns: Sequence[str], entity: str = "gener
         txn = [c for c in columns if _token(c) in ("transaction_id", "order_id", "invoice_id")]
         x, y = (F.coalesce(*[F.when(~S.is_empty(_side(s, c)), S.match_form(_side(s, c))) for c in txn], F.lit(None).cast("string")) for s in "ab")
         skip = skip | F.coalesce(x != y, F.lit(False))
-    m = compare(columns)
     merged, filled = merge(columns)
-    out = pairs.filter(~skip).select("i", "j", *[c.alias(n) for n, c in m.items()], filled.alias("filled"), merged.alias("merged"))
+    out = pairs.filter(~skip).select("i", "j", compare(columns).alias("m"), filled.alias("filled"), merged.alias("merged")).select("i", "j", "m.*", "filled", "merged")
     strong = F.exists("weights", lambda w: w > 0.30)
     single = (F.size("matched") == 1) & F.exists("weights", lambda w: w >= 0.85) & (F.size("conflicting") == 0)
     out = out.filter(strong & ((F.size("matched") >= 2) | single))
