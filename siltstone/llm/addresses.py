@@ -157,10 +157,15 @@ def parse(raw: str, towns: Gazetteer) -> Address:
     return Address(house, unit, direction, ordinal, core, kind, town, area)
 
 
+def same_street(a: str, b: str) -> bool:
+    """Two errors in a name of six letters or more, one in a shorter one."""
+    return edits(a, b, 2) <= (2 if min(len(a), len(b)) > 5 else 1)
+
+
 def same_place(a: Address, b: Address) -> bool:
     """Same town, street, house and unit; parts only one of them names do not speak against it."""
     if not a.house or a.house != b.house or a.unit != b.unit or a.town != b.town:
         return False
     if a.direction != b.direction or a.ordinal != b.ordinal or (a.kind != b.kind and a.kind and b.kind):
         return False
-    return bool(a.core) and bool(b.core) and edits(a.core, b.core, 2) <= (2 if min(len(a.core), len(b.core)) > 5 else 1)
+    return bool(a.core) and bool(b.core) and same_street(a.core, b.core)

@@ -56,7 +56,7 @@ COMMON = (
     (B, r"[।॥]|[\p{Devanagari}]\s?\|", r""),
     (N, r"(?<![\p{L}\p{M}])[\p{Devanagari}]{1,4}(?:\.[\p{Devanagari}]{1,4})*\.", r""),
     # Thai writes no stops: polite particles before a blank end a sentence
-    (B, r"[\p{Thai}](?:ครับ|ค่ะ|คะ|จ้ะ|จ้า)", rf"{_SP}"),
+    (B, r"(?:^|[\p{Thai}\s])(?:ครับ|ค่ะ|คะ|จ้ะ|จ้า)", rf"{_SP}"),
     (N, r"[\p{Thai}]\.?", r""),
     # single letters: initials, Arabic and other one-letter abbreviations
     (N, r"(?<![\p{L}\p{N}])(?:\p{Arabic}\.)+", r""),
