@@ -183,17 +183,14 @@ def schema_knowledge(spark: SparkSession, catalogue: dict[str, Entity] = CATALOG
     for name in ("customer", "item", "store", "transaction"):
         pairs = [(a, f.name) for f in catalogue[name].fields.values() for a in sorted(f.aliases)]
         pairs += [tuple(p.split("=")) for p in ABBREVIATIONS.get(name, "").split()]
-        for alias, canon in dict.fromkeys(pairs):
-            plain = alias.replace("_", " ").replace("-", " ")
-            text = f"Column Header: '{plain}' represents canonical field '{canon.replace('_', ' ')}' in {name} schema."
-            rows.append((f"{name}:{alias}:{canon}", alias, canon, name, [float(x) for x in embed(text)]))
+        rows += [(f"{name}:{alias}:{canon}", alias, canon, name, [float(x) for x in embed(alias)]) for alias, canon in dict.fromkeys(pairs)]
     return spark.createDataFrame(rows, "doc_id string, alias string, canonical_field string, entity_type string, vector array<double>")
 
 
 def map_headers(knowledge: DataFrame, headers: Sequence[str], entity: str, k: int = 3, least: float = 0.20) -> DataFrame:
     """(header, canonical_field, score): the best distinct fields of each header."""
     spark = knowledge.sparkSession
-    asked = [(h, [float(x) for x in embed(f"Column Header: '{h.strip().replace('_', ' ').replace('-', ' ')}'")]) for h in headers]
+    asked = [(h, [float(x) for x in embed(h.strip().lower())]) for h in headers]
     own = knowledge.filter(F.col("entity_type") == entity)
     hits = top_k(own, spark.createDataFrame(asked, "query_id string, vector array<double>"), "doc_id", k=k * 10, least=least)
     named = hits.join(own.select(F.col("doc_id").alias("id"), "canonical_field"), "id")
