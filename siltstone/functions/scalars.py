@@ -105,22 +105,25 @@ def parse_date(c: Column, dayfirst_iso: bool = False) -> Column:
     month_first = r"^([A-Za-z]{3})[a-z]*\.?[ -]+(\d{1,2})(?:st|nd|rd|th)?,?[ -]+(\d{4})$"
     months = F.array(*[F.lit(m) for m in ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")])
 
-    def valid(e: Column) -> Column:
-        y, m, d = e["y"], e["m"], e["d"]
+    def written(y: Column, m: Column, d: Column) -> Column:
         last = F.when(m.isin(4, 6, 9, 11), 30).when(m != 2, 31).when((y % 4 != 0) | ((y % 100 == 0) & (y % 400 != 0)), 28).otherwise(29)
-        return y.between(1900, 2100) & m.between(1, 12) & (d >= 1) & (d <= last)
+        return F.when(y.between(1900, 2100) & m.between(1, 12) & (d >= 1) & (d <= last), F.concat_ws("-", y.cast("string"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")))
 
     def read(s: Column) -> Column:
-        num = lambda p, k: F.regexp_extract(s, p, k).try_cast("int")
-        month = lambda p, k: F.array_position(months, F.lower(F.regexp_extract(s, p, k))).cast("int")
-        date = lambda y, m, d: F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
-        y, m, d = (num(iso, k) for k in (1, 2, 3))
-        a, b, yy = (num(dmy, k) for k in (1, 2, 3))
-        year = F.when(F.length(F.regexp_extract(s, dmy, 3)) == 2, yy + F.when(yy >= 70, 1900).otherwise(2000)).otherwise(yy)
-        first = [date(y, d, m), date(y, m, d)] if dayfirst_iso else [date(y, m, d), date(y, d, m)]
-        rest = [date(year, b, a), date(year, a, b), date(num(text, 3), month(text, 2), num(text, 1)), date(num(month_first, 3), month(month_first, 1), num(month_first, 2))]
-        best = F.get(F.filter(F.array(*first, *rest), valid), 0)
-        return F.when(F.length(s) >= 4, bind(best, lambda e: F.when(e.isNotNull(), F.concat_ws("-", e["y"].cast("string"), F.lpad(e["m"].cast("string"), 2, "0"), F.lpad(e["d"].cast("string"), 2, "0")))))
+        def found(pattern: str, form: Callable[[Column], Column]) -> Column:
+            groups = F.array(*[F.regexp_extract(s, pattern, k) for k in (1, 2, 3)])
+            return F.when(s.rlike(pattern), bind(groups, form))
+
+        num = lambda g, k: g[k].try_cast("int")
+        month = lambda g, k: F.array_position(months, F.lower(g[k])).cast("int")
+        year = lambda g, k: num(g, k) + F.when(F.length(g[k]) > 2, 0).when(num(g, k) >= 70, 1900).otherwise(2000)
+        forward = lambda g: written(num(g, 0), num(g, 1), num(g, 2))
+        swapped = lambda g: written(num(g, 0), num(g, 2), num(g, 1))
+        first = found(iso, lambda g: F.coalesce(*((swapped(g), forward(g)) if dayfirst_iso else (forward(g), swapped(g)))))
+        numeric = found(dmy, lambda g: F.coalesce(written(year(g, 2), num(g, 1), num(g, 0)), written(year(g, 2), num(g, 0), num(g, 1))))
+        worded = found(text, lambda g: written(num(g, 2), month(g, 1), num(g, 0)))
+        named = found(month_first, lambda g: written(num(g, 2), month(g, 0), num(g, 1)))
+        return F.when(F.length(s) >= 4, F.coalesce(first, numeric, worded, named))
 
     return bind(trimmed(c), read)
 
