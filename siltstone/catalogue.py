@@ -495,7 +495,7 @@ def x3_records(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def x9_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter("source like '%hybrid%item%' and text is not null").select(F.col("record_key").alias("id"), "text")
+    docs = table(spark, d, "documents").filter("lower(source) like '%hybrid%item%' and text is not null").select(F.col("record_key").alias("id"), "text")
     out = X.extract_hybrid(docs, "item")
     return out if out is not None else docs
 
@@ -513,14 +513,6 @@ def m4_blocked_matches(spark: SparkSession, d: str) -> DataFrame:
     return M.match_table(u, "customer", None, [mail, F.when(~S.is_empty(F.col("Phone")), S.normalize_phone(F.col("Phone")))]).drop("merged")
 
 
-@_query("""with recursive k as (select rec_id, regexp_replace(upper(""" + _match("i") + """), '^$', '') k from (select rec_id, cleaned_record.store_id i from store_knowledge) where not """ + _empty("i", S.MATCH_NULLS) + """ and length(""" + _match("i") + """) >= 2)
-select min(rec_id) a, rec_id b from (select k.rec_id, m.rec_id r from k join k m using (k)) where false group by 2""")
-def c7_no_primary_key(spark: SparkSession, d: str) -> DataFrame:
-    """Store ids are references, not identities: they cluster nothing by themselves."""
-    t = _knowledge(spark, d, "store").drop("phone")
-    return L.key_links(L.global_records([("stores", "store", t)]))
-
-
 @_query("""with recursive p as (select rec_id, cleaned_record.phone p from store_knowledge where not """ + _empty("cleaned_record.phone", S.MATCH_NULLS) + """),
 k as (select rec_id, right(g, 10) k from (select rec_id, regexp_replace(coalesce(""" + _phone_sql(_trim("p")) + ", " + _trim("p") + r"""), '\D', '', 'g') g from p) where length(g) >= 7),
 e as (select a.rec_id a, b.rec_id b from k a join k b using (k) where a.rec_id <> b.rec_id),
