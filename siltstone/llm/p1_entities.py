@@ -3,7 +3,8 @@
 Each record is parsed once; the q-grams of name, mailbox, phone and address become fixed 64-bit vectors (one bit a gram).
 Multi-index Hamming hashing finds every pair of records with vectors of one field within its radius exactly: a vector is cut into
 ``radius + 1`` blocks, and two vectors within the radius agree in one block at least. A block is only compared among records
-that also share a name key (the first letters of a name word), so a hot phone or address doesn't pair all its records.
+that also share a name key (the first letters of a name word), so a hot phone doesn't pair all its records. Addresses are indexed
+by house, unit and town, which the check demands, and compared by street: two errors in a street flip up to twelve bits.
 Candidates are scored by field-weighted Dice coefficients, turned into confidences by a fixed calibration curve, and checked
 on the texts themselves. Links are consolidated (problem 3) and the pairs of a group that agree by name are added.
 
@@ -27,8 +28,10 @@ from .contacts import filled, mailbox, subscriber
 from .p3_components import connected_groups
 from .strings import edits
 
-#: Hamming radius by field: one error in a phone or an address (four bits), an adjacent swap in a mailbox (six).
-RADIUS = {"e": 6, "p": 4, "a": 4}
+#: Hamming radius by field: one error, which flips up to six bits where it swaps two letters or digits.
+RADIUS = {"e": 6, "p": 6}
+#: Edits without swaps between two streets that ``same_street`` accepts: two swaps make four.
+STREET_EDITS = 4
 #: Weight of each field's Dice coefficient.
 WEIGHT = {"n": 1.0, "e": 1.6, "p": 1.2, "a": 1.0}
 #: Share of true pairs among candidates of two sources by weighted Dice, measured where both records have a known mailbox.
@@ -122,7 +125,7 @@ def _blocks(field: str, radius: int) -> list[Column]:
 
 def near_pairs(rec: DataFrame) -> DataFrame:
     """(x, y): distinct pairs of records that share a name key and lie within the radius in one field, or are tied without a name."""
-    keyed = rec.select("rec_id", "e", "p", "a", "ve", "vp", "va", F.explode("nk").alias("key"))
+    keyed = rec.select("rec_id", "e", "p", "ve", "vp", F.explode("nk").alias("key"))
     rows = keyed.select("rec_id", F.explode(F.array_compact(F.array(*[s for f, r in RADIUS.items() for s in _blocks(f, r)]))).alias("s")).select("rec_id", "s.*")
     x, y = rows.select(F.col("rec_id").alias("x"), "k", F.col("v").alias("vx"), "r", "first"), rows.select(F.col("rec_id").alias("y"), "k", F.col("v").alias("vy"))
     hit = (F.col("vx") == F.col("vy")) & F.col("first") | (F.col("vx") != F.col("vy")) & (F.bit_count(F.col("vx").bitwiseXOR(F.col("vy"))) <= F.col("r"))
@@ -140,6 +143,15 @@ def near_pairs(rec: DataFrame) -> DataFrame:
     return close.unionByName(loose).distinct()
 
 
+def tied_pairs(rec: DataFrame) -> DataFrame:
+    """(x, y): distinct pairs of records at one house, unit and town whose streets are near, whatever their names."""
+    part = F.split("a", r"\|")
+    place = rec.select("rec_id", part[4].alias("w"), F.xxhash64(F.lit("h"), part[0], part[1], part[6]).alias("k"), part[0].alias("house")).filter("house <> '' and w <> ''")
+    x, y = place.select(F.col("rec_id").alias("x"), "k", F.col("w").alias("wx")), place.select(F.col("rec_id").alias("y"), "k", F.col("w").alias("wy"))
+    hit = (F.col("wx") == F.col("wy")) | (F.levenshtein("wx", "wy", STREET_EDITS) >= 0)
+    return x.join(y, "k").filter((F.col("x") < F.col("y")) & hit).select("x", "y").distinct()
+
+
 def _dice(f: str) -> Column:
     a, b = F.col(f"x.v{f}"), F.col(f"y.v{f}")
     return 2 * F.bit_count(a.bitwiseAND(b)) / (F.bit_count(a) + F.bit_count(b))
@@ -188,7 +200,7 @@ def _checked(pairs: DataFrame, nick: names.Nicknames) -> DataFrame:
 
 def links(rec: DataFrame, nick: names.Nicknames) -> DataFrame:
     """(x, y, cross, conf): the pairs of records, of one source or two, that the check confirms."""
-    cand = near_pairs(rec)
+    cand = near_pairs(rec).unionByName(tied_pairs(rec)).distinct()
     side = rec.select("rec_id", "src", "name", "e", "p", "a", "vn", "ve", "vp", "va")
     found = cand.join(side.alias("x"), F.col("x") == F.col("x.rec_id")).join(side.alias("y"), F.col("y") == F.col("y.rec_id"))
     flat = found.select(

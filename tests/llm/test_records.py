@@ -76,6 +76,13 @@ def test_hamming_is_exact(spark):
     assert pairs(p1_entities.near_pairs(rec)) == brute
 
 
+def test_entities_by_misspelt_street(spark, cities, nicks):
+    at = ["28 Fenmaomnt Square, Selsor", "28 Fenmamopnt Square, Selsor", "28 Fenmaomnt Square, Dormar", "29 Fenmaomnt Square, Selsor"]
+    rows = [(i + 1, "abcd"[i], None, "Asha Wafen", None, None, a) for i, a in enumerate(at)]
+    rows += [(5, "a", None, "Edward Morlun", "9876543210", None, None), (6, "b", None, "Edward Morlun", "9876534210", None, None)]  # swapped digits
+    assert pairs(p1_entities.match_entities(customers(spark, rows), cities, nicks)) == {(1, 2), (5, 6)}
+
+
 def test_same_address(spark, cities):
     texts = ["12 Tolin Road, Selsor 578123", "Selsor; #12 Tolin Rd.", "12, Tolni Road, Selsor", "12 Tolin Street, Selsor", "12 Tolin Road, Dormar", "Flat 3, 12 Tolin Road, Selsor", "12/3 Tolin Rd, Selsor", "12 N Tolin Road, Selsor", "n/a", None, "", "12 TOLIN, 578 123", "12 Tolin Road, Selsor 578123", "no digits here", "7 " * 20_000]
     rows = [(i + 1, "a", None, None, None, None, t) for i, t in enumerate(texts)]
