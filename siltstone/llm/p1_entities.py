@@ -3,8 +3,9 @@
 Each record is parsed once; the q-grams of name, mailbox, phone and address become fixed 64-bit vectors (one bit a gram).
 Multi-index Hamming hashing finds every pair of records with vectors of one field within its radius exactly: a vector is cut into
 ``radius + 1`` blocks, and two vectors within the radius agree in one block at least. A block is only compared among records
-that also share a name key (the first letters of a name word), so a hot phone doesn't pair all its records. Addresses are indexed
-by house, unit and town, which the check demands, and compared by street: two errors in a street flip up to twelve bits.
+that also share a name key (the first letters of a name word). Errors and short forms change that key, and two errors in a street
+flip up to twelve bits; so what the check accepts is also indexed without a name: mailboxes and phones by the texts with one letter
+left out, addresses by house, unit and town.
 Candidates are scored by field-weighted Dice coefficients, turned into confidences by a fixed calibration curve, and checked
 on the texts themselves. Links are consolidated (problem 3) and the pairs of a group that agree by name are added.
 
@@ -99,16 +100,16 @@ def parse_records(customers: DataFrame, towns: Gazetteer) -> DataFrame:
                 digits = [p] if p else []
                 where = [place.house, place.unit, place.core, place.town] if place else []
                 keys = sorted({t[:3] for t in name.tokens if len(t) > 2 and t not in names.PARTICLES})
-                out.append((rid, src or "", n if name.tokens else "", e, p, _flat(place) if place else "", vector("n", list(name.tokens)), vector("e", [e]) if e else 0, vector("p", digits), vector("a", where), keys, len(name.tokens) < 2))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 12, _TYPES)], names=_NAMES)
+                out.append((rid, src or "", n if name.tokens else "", e, p, _flat(place) if place else "", vector("n", list(name.tokens)), vector("e", [e]) if e else 0, vector("p", digits), vector("a", where), keys))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 11, _TYPES)], names=_NAMES)
 
     c = F.col("cleaned_record")
     rec = customers.select("rec_id", F.col("metadata.source").alias("src"), *[c[f].alias(f) for f in ("name", "phone", "email", "address")])
-    return rec.mapInArrow(run, "rec_id long, src string, name string, e string, p string, a string, vn long, ve long, vp long, va long, nk array<string>, wild boolean")
+    return rec.mapInArrow(run, "rec_id long, src string, name string, e string, p string, a string, vn long, ve long, vp long, va long, nk array<string>")
 
 
-_NAMES = ["rec_id", "src", "name", "e", "p", "a", "vn", "ve", "vp", "va", "nk", "wild"]
-_TYPES = [pa.int64(), *[pa.string()] * 5, *[pa.int64()] * 4, pa.list_(pa.string()), pa.bool_()]
+_NAMES = ["rec_id", "src", "name", "e", "p", "a", "vn", "ve", "vp", "va", "nk"]
+_TYPES = [pa.int64(), *[pa.string()] * 5, *[pa.int64()] * 4, pa.list_(pa.string())]
 
 
 def _blocks(field: str, radius: int) -> list[Column]:
@@ -124,31 +125,31 @@ def _blocks(field: str, radius: int) -> list[Column]:
 
 
 def near_pairs(rec: DataFrame) -> DataFrame:
-    """(x, y): distinct pairs of records that share a name key and lie within the radius in one field, or are tied without a name."""
+    """(x, y): distinct pairs of records that share a name key and lie within the radius in one field."""
     keyed = rec.select("rec_id", "e", "p", "ve", "vp", F.explode("nk").alias("key"))
     rows = keyed.select("rec_id", F.explode(F.array_compact(F.array(*[s for f, r in RADIUS.items() for s in _blocks(f, r)]))).alias("s")).select("rec_id", "s.*")
     x, y = rows.select(F.col("rec_id").alias("x"), "k", F.col("v").alias("vx"), "r", "first"), rows.select(F.col("rec_id").alias("y"), "k", F.col("v").alias("vy"))
     hit = (F.col("vx") == F.col("vy")) & F.col("first") | (F.col("vx") != F.col("vy")) & (F.bit_count(F.col("vx").bitwiseXOR(F.col("vy"))) <= F.col("r"))
     close = x.join(y, "k").filter((F.col("x") < F.col("y")) & hit).select("x", "y")
-    # names missing or of one word: tied by the whole mailbox or phone, or by phone and address
-    ties = F.array_compact(F.array(
-        F.when(F.col("e") != "", F.struct(F.xxhash64(F.lit("e"), "e").alias("k"), F.lit(True).alias("named"))),
-        F.when((F.col("p") != "") & (F.size("nk") > 0), F.struct(F.xxhash64(F.lit("p"), "p").alias("k"), F.lit(True).alias("named"))),
-        F.when((F.col("p") != "") & (F.col("a") != ""), F.struct(F.xxhash64(F.lit("pa"), "p", F.split("a", r"\|")[0]).alias("k"), F.lit(True).alias("named"))),
-    ))
-    tied = rec.select("rec_id", "wild", F.explode(ties).alias("s")).select("rec_id", "wild", "s.k")
-    u = tied.filter("wild").select(F.col("rec_id").alias("u"), "k")
-    w = tied.select(F.col("rec_id").alias("w"), "k")
-    loose = u.join(w, "k").filter("u <> w").select(F.least("u", "w").alias("x"), F.greatest("u", "w").alias("y"))
-    return close.unionByName(loose).distinct()
+    return close.distinct()
+
+
+def _variants(f: str) -> Column:
+    """The text itself and, where one error is allowed, the texts with one letter left out: two texts one error apart share one."""
+    c = F.col(f)
+    cut = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+    return F.when(F.length(c) > 6, F.array_distinct(F.concat(F.array(c), cut))).otherwise(F.array(c))
 
 
 def tied_pairs(rec: DataFrame) -> DataFrame:
-    """(x, y): distinct pairs of records at one house, unit and town whose streets are near, whatever their names."""
+    """(x, y): distinct pairs of records, whatever their names, with mailboxes or phones one error apart at most, or at one house, unit and town in streets that are near."""
+    one = lambda f: rec.filter(F.col(f) != "").select("rec_id", F.col(f).alias("w"), F.explode(_variants(f)).alias("v")).select("rec_id", "w", F.xxhash64(F.lit(f), "v").alias("k"), (F.col("v") == F.col("w")).alias("whole"))
     part = F.split("a", r"\|")
-    place = rec.select("rec_id", part[4].alias("w"), F.xxhash64(F.lit("h"), part[0], part[1], part[6]).alias("k"), part[0].alias("house")).filter("house <> '' and w <> ''")
-    x, y = place.select(F.col("rec_id").alias("x"), "k", F.col("w").alias("wx")), place.select(F.col("rec_id").alias("y"), "k", F.col("w").alias("wy"))
-    hit = (F.col("wx") == F.col("wy")) | (F.levenshtein("wx", "wy", STREET_EDITS) >= 0)
+    place = rec.select("rec_id", part[4].alias("w"), F.xxhash64(F.lit("a"), part[0], part[1], part[6]).alias("k"), F.lit(True).alias("whole"), part[0].alias("house")).filter("house <> '' and w <> ''").drop("house")
+    rows = one("e").unionByName(one("p")).unionByName(place)
+    x, y = rows.toDF("x", "wx", "k", "whole_x"), rows.toDF("y", "wy", "k", "whole_y")
+    # equal texts meet under the whole text only; streets may differ by more than the one error of the variants
+    hit = F.when(F.col("wx") == F.col("wy"), F.col("whole_x") & F.col("whole_y")).otherwise(F.levenshtein("wx", "wy", STREET_EDITS) >= 0)
     return x.join(y, "k").filter((F.col("x") < F.col("y")) & hit).select("x", "y").distinct()
 
 

@@ -83,6 +83,15 @@ def test_entities_by_misspelt_street(spark, cities, nicks):
     assert pairs(p1_entities.match_entities(customers(spark, rows), cities, nicks)) == {(1, 2), (5, 6)}
 
 
+def test_entities_without_name_key(spark, cities, nicks):
+    rows = [
+        (1, "a", None, "F. Tbaper", None, "ftaper102x@x.test", None), (2, "b", None, "Friedrich Taper", None, "ftaper102x@y.test", None),  # one mailbox
+        (3, "a", None, "Betty Bemar", "9539069090", None, None), (4, "b", None, "Elizabeth Bepar", "9539069090", None, None),  # one phone
+        (5, "a", None, "J Saidor", "9263172151", "jsaidor9k2@x.test", None), (6, "b", None, "Johannes Satidor", "9263172511", "jsaidro9k2@x.test", None),  # both with an error
+    ]
+    assert pairs(p1_entities.match_entities(customers(spark, rows), cities, nicks)) == {(1, 2), (3, 4), (5, 6)}
+
+
 def test_same_address(spark, cities):
     texts = ["12 Tolin Road, Selsor 578123", "Selsor; #12 Tolin Rd.", "12, Tolni Road, Selsor", "12 Tolin Street, Selsor", "12 Tolin Road, Dormar", "Flat 3, 12 Tolin Road, Selsor", "12/3 Tolin Rd, Selsor", "12 N Tolin Road, Selsor", "n/a", None, "", "12 TOLIN, 578 123", "12 Tolin Road, Selsor 578123", "no digits here", "7 " * 20_000]
     rows = [(i + 1, "a", None, None, None, None, t) for i, t in enumerate(texts)]
