@@ -171,6 +171,13 @@ def test_names_link(spark, cities, nicks):
     assert pairs(p5_names.link_names(users.limit(0), customers(spark, []), cities, nicks)) == set()
 
 
+def test_names_link_by_misspelt_mailbox(spark, cities, nicks):
+    user, customer = ["bebin2zl6", "ines16hq", "soren1qoy", "abcdefghij", "noor123"], ["bebni2zl6", "ine16hq", "sore1nqoy", "abcdfeghij", "noor12"]
+    users = spark.createDataFrame([(i, "Noor Bebin", f"{e}@x.test", None, None, None, None, None) for i, e in enumerate(user)], USERS)
+    held = customers(spark, [(10 + i, "a", None, "Noor Bebin", None, f"{e}@y.test", None) for i, e in enumerate(customer)])
+    assert pairs(p5_names.link_names(users, held, cities, nicks)) == {(i, 10 + i) for i in range(len(user))}
+
+
 def test_names():
     nick = names.Nicknames([*names.COMMON, *NICKS])
     level = lambda a, b: names.compatible(names.parse(a), names.parse(b), nick)
