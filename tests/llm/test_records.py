@@ -178,6 +178,15 @@ def test_names_link_by_misspelt_mailbox(spark, cities, nicks):
     assert pairs(p5_names.link_names(users, held, cities, nicks)) == {(i, 10 + i) for i in range(len(user))}
 
 
+def test_names_link_by_town_at_the_threshold(spark, cities, nicks):
+    users = spark.createDataFrame([(1, "Sunita Elnar", None, None, None, None, "Selsor", None), (2, "Sunita Elnar", None, None, None, None, "Dormar", None)], USERS)
+    held = customers(spark, [(11, "a", None, "SNUITA ELNAR", None, None, "12 Tolin Road, Selsor")])
+    a, b = (p5_names.canonical(names.parse(x)) for x in ("Sunita Elnar", "SNUITA ELNAR"))
+    canon = spark.createDataFrame([(x,) for x in (a, a, b)], "canon string")
+    assert p5_names.THRESHOLD <= p5_names.Cosine(p5_names.trigram_weights(canon))(a, b) < 0.5
+    assert pairs(p5_names.link_names(users, held, cities, nicks)) == {(1, 11)}
+
+
 def test_names():
     nick = names.Nicknames([*names.COMMON, *NICKS])
     level = lambda a, b: names.compatible(names.parse(a), names.parse(b), nick)
