@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -158,6 +160,11 @@ def _dice(f: str) -> Column:
     return 2 * F.bit_count(a.bitwiseAND(b)) / (F.bit_count(a) + F.bit_count(b))
 
 
+def comparable() -> Column:
+    """Have both records of the pair some field?"""
+    return reduce(or_, [(F.col(f"x.v{f}") != 0) & (F.col(f"y.v{f}") != 0) for f in WEIGHT])
+
+
 def confidence() -> Column:
     """Calibrated from the weighted Dice coefficients of the fields that both records have."""
     both = {f: (F.col(f"x.v{f}") != 0) & (F.col(f"y.v{f}") != 0) for f in WEIGHT}
@@ -212,29 +219,33 @@ def links(rec: DataFrame, nick: names.Nicknames) -> DataFrame:
 
 
 def _grouped(pairs: DataFrame, nick: names.Nicknames) -> DataFrame:
-    """The pairs of a group whose names may be one."""
+    """(x, y, conf): the pairs of a group whose names may be one."""
+    cols = ["x", "y", "conf"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [(k := _level(p, q, nick)) >= names.WEAK or k < 0 for p, q in zip(b.column("nx").to_pylist(), b.column("ny").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in cols], names=cols).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(run, "x long, y long")
+    return pairs.mapInArrow(run, "x long, y long, conf double")
 
 
 def match_entities(customers: DataFrame, cities: DataFrame, nicks: DataFrame) -> DataFrame:
     """(rec_a, rec_b, confidence): pairs of records of two sources that mean one person or organisation.
 
-    The confidence is null for pairs that are tied only through other records.
+    Pairs that are tied only through other records get theirs from the fields both have, as direct links do; if they have none
+    in common, the least confidence of the links of their group.
     """
     towns, nick = gazetteer(cities), nicknames(nicks)
     rec = materialize(parse_records(customers, towns))
     found = materialize(links(rec, nick))
     groups = connected_groups(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    member = groups.join(rec.select(F.col("rec_id").alias("v"), "src", "name"), "v")
-    x, y = member.select("root", F.col("v").alias("x"), F.col("src").alias("sx"), F.col("name").alias("nx")), member.select("root", F.col("v").alias("y"), F.col("src").alias("sy"), F.col("name").alias("ny"))
-    tied = _grouped(x.join(y, "root").filter("x < y and sx <> sy").select("x", "y", "nx", "ny"), nick)
-    both = found.filter("cross").select("x", "y", "conf").unionByName(tied.select("x", "y", F.lit(None).cast("double").alias("conf")))
+    weakest = found.join(groups, F.col("x") == F.col("v")).groupBy("root").agg(F.min("conf").alias("least"))
+    member = groups.join(rec.select(F.col("rec_id").alias("v"), "src", "name", "vn", "ve", "vp", "va"), "v")
+    of_group = member.alias("x").join(member.alias("y"), F.col("x.root") == F.col("y.root")).filter("x.v < y.v and x.src <> y.src").join(weakest.alias("g"), F.col("x.root") == F.col("g.root"))
+    conf = F.when(comparable(), confidence()).otherwise(F.col("g.least"))
+    tied = _grouped(of_group.select(F.col("x.v").alias("x"), F.col("y.v").alias("y"), F.col("x.name").alias("nx"), F.col("y.name").alias("ny"), conf.alias("conf")), nick)
+    both = found.filter("cross").select("x", "y", "conf").unionByName(tied)
     return both.groupBy(F.col("x").alias("rec_a"), F.col("y").alias("rec_b")).agg(F.max("conf").alias("confidence"))
 
 

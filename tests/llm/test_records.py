@@ -92,6 +92,17 @@ def test_entities_without_name_key(spark, cities, nicks):
     assert pairs(p1_entities.match_entities(customers(spark, rows), cities, nicks)) == {(1, 2), (3, 4), (5, 6)}
 
 
+def test_every_pair_has_a_confidence(spark, cities, nicks):
+    rows = [
+        (1, "a", None, "Edward Morlun", "9876543210", None, None), (2, "b", None, "Edward Morlun", "9876543210", "edward.morlun1ab2@x.test", None),
+        (3, "c", None, "Edward Morlun", None, "edward.morlun1ab2@x.test", None),  # tied to 1 by way of 2
+        (4, "d", None, None, None, "edward.morlun1ab2@x.test", None),  # has no field in common with 1
+    ]
+    got = {(r.rec_a, r.rec_b): r.confidence for r in p1_entities.match_entities(customers(spark, rows), cities, nicks).collect()}
+    assert set(got) == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)}
+    assert all(c is not None and 0 < c <= 1 for c in got.values())
+
+
 def test_same_address(spark, cities):
     texts = ["12 Tolin Road, Selsor 578123", "Selsor; #12 Tolin Rd.", "12, Tolni Road, Selsor", "12 Tolin Street, Selsor", "12 Tolin Road, Dormar", "Flat 3, 12 Tolin Road, Selsor", "12/3 Tolin Rd, Selsor", "12 N Tolin Road, Selsor", "n/a", None, "", "12 TOLIN, 578 123", "12 Tolin Road, Selsor 578123", "no digits here", "7 " * 20_000]
     rows = [(i + 1, "a", None, None, None, None, t) for i, t in enumerate(texts)]
