@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import os
-import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -15,8 +14,6 @@ from pyspark.sql import DataFrame
 TOKENIZER_DIR = os.environ.get("SILTSTONE_TOKENIZERS", "/opt/tokenizers")
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: Longest run of one piece that is given to the encoder at once: merging takes more than linear time in it.
-_RUN = 2_000
 
 
 @lru_cache(maxsize=4)
@@ -35,10 +32,7 @@ def encoder(path: str) -> Callable[[str], list[int]]:
 
 
 def count(text: str, encode: Callable[[str], list[int]]) -> int:
-    """Tokens of ``text``; runs of over ``_RUN`` characters without a blank are counted in pieces of that length."""
-    if len(text) > _RUN and re.search(rf"\S{{{_RUN},}}", text):
-        parts = re.split(rf"(\S{{{_RUN}}})", text)
-        return sum(len(encode(p)) for p in parts if p)
+    """Tokens of ``text``, taken whole: cuts would split tokens at the seams."""
     return len(encode(text))
 
 

@@ -140,3 +140,13 @@ def test_segment_odd_texts(spark):
     for r in rows:
         got.setdefault(r.doc_id, []).append((r.sent_start, r.sent_end))
     assert got[4] == got[5] == [(0, 4), (5, 9)] and got[6] == [(0, 100_004)] and not {1, 2, 3} & got.keys() and got[8] == [(0, 11), (12, 16)]
+
+
+def test_long_runs_are_counted_whole():
+    import os
+
+    from siltstone.llm import tokens
+
+    encode = tokens.encoder(os.path.join(tokens.TOKENIZER_DIR, tokens.TOKENIZER))
+    text = "語文字中国人" * 3_333
+    assert tokens.count(text, encode) == len(encode(text))
