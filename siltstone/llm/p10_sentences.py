@@ -13,7 +13,9 @@ a last sentence needs no stop; texts of any length are read whole.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,53 +41,66 @@ MAYBE = r"etc a\.?\s?m p\.?\s?m u\.s e\.u u\.k inc ltd co corp jr sr ave rd blvd
 REPORT = r"asked|said|wrote|shouted|replied|answered|called|added|cried|noted|explained|whispered|fragte|sagte|schrieb|rief|antwortete|demanda|dit|écrit|répondit|dijo|preguntó|escribió|respondió"
 OPEN, CLOSE = "\"'“„«「『‘‹", "\"'”“»」』’›"
 _SP = r"[\s​﻿]"
+THAI = "บะา"  # last letters of the particles
+ALL = ".!?…。．！？।॥|؟" + THAI
 
 
 def _alt(words: str) -> str:
-    return "|".join(words.split(" "))
+    """Alternation of ``words`` (plain or patterns) by their last letters: what is read backwards fails at the first one."""
+    plain: dict[str, list[str]] = {}
+    rest = []
+    for w in words.split(" "):
+        if w.isalpha():
+            plain.setdefault(w[-1], []).append(w[:-1])
+        else:
+            rest.append(w)
+    return "|".join([*(f"(?:{'|'.join(heads)}){last}" for last, heads in plain.items()), *rest])
 
 
-#: Rows for every text: (break?, before the position, after it).
+#: Rows for every text: (break?, last characters of the stop, the text before the position, the text after it).
 COMMON = (
-    (N, r"[.…]", rf"{_SP}*[,;:،؛、，]"),
-    (N, r"\.", r"[\w@/-]*\d"),
+    (N, ".…", r"", rf"{_SP}*[,;:،؛、，]"),
+    (N, ".", r"", r"[\w@/-]*\d"),
+)
+#: Rows that ask for a character of a script before the stop, or that end in one.
+SCRIPTS = (
     # East Asian stops break whatever follows; an ellipsis between them doesn't
-    (B, r"[。．！？]", r""),
-    (N, r"[\p{Han}\p{Hiragana}\p{Katakana}\d]…+", r""),
+    (B, "。．！？", r"", r""),
+    (N, "…", r"[\p{Han}\p{Hiragana}\p{Katakana}\d]…+", r""),
     # Devanagari
-    (B, r"[।॥]|[\p{Devanagari}]\s?\|", r""),
-    (N, r"(?<![\p{L}\p{M}])[\p{Devanagari}]{1,4}(?:\.[\p{Devanagari}]{1,4})*\.", r""),
+    (B, "।॥|", r"", r""),
+    (N, ".", r"(?<![\p{L}\p{M}])[\p{Devanagari}]{1,4}(?:\.[\p{Devanagari}]{1,4})*\.", r""),
     # Thai writes no stops: polite particles before a blank end a sentence
-    (B, r"(?:^|[\p{Thai}\s])(?:ครับ|ค่ะ|คะ|จ้ะ|จ้า)", rf"{_SP}"),
-    (N, r"[\p{Thai}]\.?", r""),
-    # single letters: initials, Arabic and other one-letter abbreviations
-    (N, r"(?<![\p{L}\p{N}])(?:\p{Arabic}\.)+", r""),
-    (B, r"[؟]", r""),
-    (B, r"\p{Arabic}[.!…]+", rf"{_SP}"),
+    (B, THAI, r"(?:^|[\p{Thai}\s])(?:ครับ|ค่ะ|คะ|จ้ะ|จ้า)", rf"{_SP}"),
+    (N, ALL, r"[\p{Thai}]\.?", r""),
+    # one-letter abbreviations
+    (N, ".", r"(?<![\p{L}\p{N}])(?:\p{Arabic}\.)+", r""),
+    (B, "؟", r"", r""),
+    (B, ".!…", r"\p{Arabic}[.!…]+", rf"{_SP}"),
 )
 LATIN = (
-    # a short beginning drawn out goes on
-    (N, r"^.{1,38}(?:\.{2,}|…)", rf"{_SP}+\p{{Ll}}"),
-    (B, r"(?:\.{2,}|…)", rf"{_SP}"),
-    (B, r"[!?]+[.!?…]*", rf"{_SP}"),
-    (B, r"\p{L}{2}[!?]+", r"\p{Lu}\p{Ll}"),
-    (N, rf"(?<![\p{{L}}\p{{N}}])(?i:{_alt(MAYBE)})\.", rf"{_SP}+(?:\p{{Ll}}|\d|&|\()"),
-    (N, r"(?<![\p{L}\p{N}])Co\.", rf"{_SP}+(?:Ltd|KG|Inc)\b"),
-    (N, r"(?<![\p{L}\p{N}])(?i:no)\.", rf"{_SP}+\d"),
-    (B, rf"(?<![\p{{L}}\p{{N}}])(?i:{_alt(MAYBE)})\.", rf"{_SP}"),
-    (N, r"(?<![\p{L}\p{N}'’])\p{L}\.", r""),
-    (N, r"(?<![\p{L}\p{N}])(?:\p{L}\.){2,}", rf"{_SP}+\p{{Ll}}"),
-    (B, r"\.", rf"{_SP}"),
-    (B, r"\p{Ll}{2}[\)\]]?\.", r"\p{Lu}\p{Ll}"),
-    (B, r"\p{Ll}{3}\.", r"\p{Lu}\s"),
-    (B, r"\)\.", r"\p{Lu}"),
-    (B, r"\p{Ll}{2}\.", r"[\"“«„]\p{Lu}"),
+    # what is drawn out goes on in lower case
+    (N, ".…", r"(?:\.{2,}|…)", rf"{_SP}+\p{{Ll}}"),
+    (B, ".…", r"(?:\.{2,}|…)", rf"{_SP}"),
+    (B, "!?.…", r"[!?]+[.!?…]*", rf"{_SP}"),
+    (B, "!?", r"\p{L}{2}[!?]+", r"\p{Lu}\p{Ll}"),
+    (N, ".", rf"(?<![\p{{L}}\p{{N}}])(?i:{_alt(MAYBE)})\.", rf"{_SP}+(?:\p{{Ll}}|\d|&|\()"),
+    (N, ".", r"(?<![\p{L}\p{N}])Co\.", rf"{_SP}+(?:Ltd|KG|Inc)\b"),
+    (N, ".", r"(?<![\p{L}\p{N}])(?i:no)\.", rf"{_SP}+\d"),
+    (B, ".", rf"(?<![\p{{L}}\p{{N}}])(?i:{_alt(MAYBE)})\.", rf"{_SP}"),
+    (N, ".", r"(?<![\p{L}\p{N}'’])\p{L}\.", r""),
+    (N, ".", r"(?<![\p{L}\p{N}])(?:\p{L}\.){2,}", rf"{_SP}+\p{{Ll}}"),
+    (B, ".", r"", rf"{_SP}"),
+    (B, ".", r"\p{Ll}{2}[\)\]]?\.", r"\p{Lu}\p{Ll}"),
+    (B, ".", r"\p{Ll}{3}\.", r"\p{Lu}\s"),
+    (B, ".", r"\)\.", r"\p{Lu}"),
+    (B, ".", r"\p{Ll}{2}\.", r"[\"“«„]\p{Lu}"),
 )
 BY_LANGUAGE = {
-    "en": ((N, r"(?<![\p{L}\p{N}])(?:min|max)\.", rf"{_SP}"),),
-    "de": ((N, r"(?<![\p{L}\p{N}.,])\d{1,2}\.", rf"{_SP}+\p{{L}}"),),
+    "en": ((N, ".", r"(?<![\p{L}\p{N}])(?:min|max)\.", rf"{_SP}"),),
+    "de": ((N, ".", r"(?<![\p{L}\p{N}.,])\d{1,2}\.", rf"{_SP}+\p{{L}}"),),
     "fr": (),
-    "es": ((N, r"\d\.[ºª]", r""),),
+    "es": ((N, ".", r"\d\.[ºª]", r""),),
 }
 STOPWORDS = {
     "en": "the and is of to in for was at from but with this",
@@ -93,8 +108,8 @@ STOPWORDS = {
     "fr": "le la les est une des et du depuis un qui au il",
     "es": "el la los las es una del por en de vive desde se",
 }
-GREETING = r"(?i:dear|hello|hi|hey|good (?:morning|afternoon|evening)|to whom|sehr geehrte[rs]?|liebe[rs]?|hallo|guten (?:tag|morgen)|bonjour|bonsoir|ch[eè]re?s?|madame|monsieur|estimad[oa]s?|querid[oa]s?|hola|buen[oa]s (?:días|tardes)|नमस्ते|प्रिय|尊敬的|您好|你好|拝啓|เรียน|สวัสดี|عزيزي|السيد|مرحبا)\b[^.!?。！？।]{0,60}[,،，:!]?|[^.!?。！？।\n]{1,20}様[、,]?"
-CLOSING = r"(?i:(?:yours|kind|best|warm|with)?\s*(?:sincerely|regards|faithfully|truly|wishes|thanks)(?: yours)?|mit freundlichen grüßen|viele grüße|beste grüße|cordialement|bien à vous|salutations[^.]{0,30}|atentamente|saludos(?: cordiales)?|un saludo|धन्यवाद|भवदीय|此致|敬礼|敬具|ขอแสดงความนับถือ|مع التحية|مع أطيب التحيات|thank you|thanks),?"
+GREETING = r"(?i:dear|hello|hi|hey|good (?:morning|afternoon|evening)|to whom|sehr geehrte[rs]?|liebe[rs]?|hallo|guten (?:tag|morgen)|bonjour|bonsoir|ch[eè]re?s?|madame|monsieur|estimad[oa]s?|querid[oa]s?|hola|buen[oa]s (?:días|tardes)|नमस्ते|प्रिय|尊敬的|您好|你好|拝啓|เรียน|สวัสดี|عزيزي|السيد|مرحبا)\b[^.!?。！？।]*[,،，:!]?|[^.!?。！？।、，,\s]+様[、,]?"
+CLOSING = r"(?i:(?:yours|kind|best|warm|with)?\s*(?:sincerely|regards|faithfully|truly|wishes|thanks)(?: yours)?|mit freundlichen grüßen|viele grüße|beste grüße|cordialement|bien à vous|salutations[^.,]*|atentamente|saludos(?: cordiales)?|un saludo|धन्यवाद|भवदीय|此致|敬礼|敬具|ขอแสดงความนับถือ|مع التحية|مع أطيب التحيات|thank you|thanks),?"
 LABELS = r"(?i:name|phone|telephone|e-?mail|address|date of birth|dob|organi[sz]ation|company|id number|id|total amount|amount|city|postal code|date|subject|from|to|customer|store|item|status)"
 # --------------------------------------------------------------------------
 _LIST = re.compile(r"[ \t]*(?:[-*•–‣·]|\d{1,3}[.)])[ \t ]+\S")
@@ -104,66 +119,95 @@ _GREET = re.compile(rf"[ \t]*(?:{GREETING})[ \t]*")
 _CLOSING = re.compile(rf"[ \t]*(?:{CLOSING})[ \t]*")
 _STOP = re.compile(r"[.!?…。．！？।॥؟]+|(?<=\p{Devanagari}\s?)\||(?:ครับ|ค่ะ|คะ|จ้ะ|จ้า)(?=[\s​﻿])")
 _LINE = re.compile(r"\r\n|[\r\n  \u0085\x0b\x0c]")
+_RUNS_ON = re.compile(r"[\p{Ll},;]\s*$")
 _ENDS = re.compile(r"[.!?…。．！？।॥؟|:][\"'”“»」』’)\]]*\s*$|(?:ครับ|ค่ะ|คะ)\s*$")
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "‘": "’"}
 _MARKS = re.compile(r"[\"“”„«»「」『』()（）\[\]]|(?<![\w.!?,;])'(?=\w)|(?<=[\w.!?,…])'(?!\w)|‘|(?<=[.!?,…])’")
 _QUOTED = {"\"", "'", "“", "„", "«", "「", "『", "‘"}
 
 
-def _compile(rows: tuple) -> list[tuple[bool, object, object]]:
-    return [(b, re.compile(f"(?:{before})$"), re.compile(after)) for b, before, after in rows]
-
-
 def _never(lang: str) -> tuple:
     rest = " ".join(v for k, v in NEVER.items() if k != lang)
     return (
-        (N, rf"(?<![\p{{L}}\p{{N}}])(?i:{_alt(NEVER[lang])})\.", rf"{_SP}*[\S]"),
-        (N, rf"(?<![\p{{L}}\p{{N}}])(?i:{_alt(rest)})\.", rf"{_SP}*[\p{{Ll}}\d]"),
+        (N, ".", rf"(?<![\p{{L}}\p{{N}}])(?i:{_alt(NEVER[lang])})\.", rf"{_SP}*[\S]"),
+        (N, ".", rf"(?<![\p{{L}}\p{{N}}])(?i:{_alt(rest)})\.", rf"{_SP}*[\p{{Ll}}\d]"),
     )
 
 
-TABLES = {lang: _compile((*COMMON, *_never(lang), *BY_LANGUAGE[lang], *LATIN)) for lang in NEVER}
-_COUNT = {k: re.compile(rf"\b(?:{_alt(v)})\b", re.I) for k, v in STOPWORDS.items()}
+def _compile(rows: tuple) -> dict[str, tuple[object, tuple[bool, ...]]]:
+    """By last character of the stop: one pattern, to be matched just after the stop, and what its rows decide.
+
+    The rows are its alternatives in their order, each with an empty group of its own, so the number of the group that
+    matched is the first row that fits.
+    """
+    out = {}
+    for c in ALL:
+        mine = [(b, before, after) for b, stops, before, after in rows if c in stops]
+        row = [(rf"(?<={before})" if before else "") + rf"[)\]）]*+(?:{after})()" for _, before, after in mine]
+        out[c] = (re.compile("|".join(row) or r"(?!)"), tuple(b for b, _, _ in mine))
+    return out
+
+
+#: By language: the rows for any text, and those that can match a full stop after an ASCII character.
+TABLES = {lang: (_compile((*COMMON, *SCRIPTS, *_never(lang), *BY_LANGUAGE[lang], *LATIN)), _compile((*COMMON, *_never(lang), *BY_LANGUAGE[lang], *LATIN))["."]) for lang in NEVER}
+_STOPWORD = {w: [k for k, v in STOPWORDS.items() if w in v.split(" ")] for v in STOPWORDS.values() for w in v.split(" ")}
 _LATIN_LETTERS = re.compile(r"\p{Latin}")
 
 
 def language(text: str) -> str:
     """Table of the Latin rules that fits the words of ``text`` best; English where there are none."""
-    best, top = "en", 0
-    for k, p in _COUNT.items():
-        n = sum(1 for _ in p.finditer(text))
-        if n > top:
-            best, top = k, n
-    return best
+    hits = dict.fromkeys(STOPWORDS, 0)
+    for w, n in Counter(text.lower().split()).items():
+        for k in _STOPWORD.get(w, ()):
+            hits[k] += n
+    return max(hits, key=hits.get)
 
 
 def _quotes(s: str) -> list[tuple[int, int, bool]]:
-    """(opening, closing, quotation?) of the outer quotations and brackets; marks without a partner are left out."""
-    out, stack = [], []
+    """(opening, closing, quotation?) of the outer quotations and brackets; marks without a partner are left out.
+
+    A closing mark ends the latest opening it fits, and what was opened after that is dropped. The openings are kept by
+    the marks that close them, so a text of nothing but marks takes linear time as well.
+    """
+    out: list[tuple[int, int, bool]] = []
+    stack: list[tuple[int, bool]] = []
+    by: dict[str, list[tuple[int, int]]] = {}  # closing mark -> (place in the stack, position) of its openings
     for m in _MARKS.finditer(s):
         c, i = m[0], m.start()
-        close = next((k for k in range(len(stack) - 1, -1, -1) if c in stack[k][2]), -1)
-        if close >= 0:
-            a = stack[close]
-            del stack[close:]
-            out.append((a[0], i, a[1]))
-        elif c in _PAIRS:
-            stack.append((i, c in _QUOTED, _PAIRS[c]))
-        elif c in "\"'" and (i + 1 < len(s)):
-            stack.append((i, True, c))
+        mine = by.get(c)
+        while mine and (mine[-1][0] >= len(stack) or stack[mine[-1][0]][0] != mine[-1][1]):
+            mine.pop()  # dropped with an outer pair
+        if mine:
+            at, a = mine.pop()
+            out.append((a, i, stack[at][1]))
+            del stack[at:]
+        elif c in _PAIRS or (c in "\"'" and i + 1 < len(s)):
+            for close in _PAIRS.get(c, c):
+                by.setdefault(close, []).append((len(stack), i))
+            stack.append((i, c in _QUOTED))
     out.sort()
     flat: list[tuple[int, int, bool]] = []
     for a, b, q in out:
-        if (not flat or a > flat[-1][1]) and b - a < 2000:
+        if not flat or a > flat[-1][1]:
             flat.append((a, b, q))
     return flat
 
 
+_SHORT_END = re.compile(r"(?<![\p{L}\p{N}])(?:Jr|Sr|Inc|Ltd|Co)\.$")
 _AFTER_SPACE = re.compile(r"[\s​﻿]*")
 _REPORT = re.compile(rf"(?:(?:Mr|Mrs|Ms|Dr|Prof|Rev)\. )?\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'.-]+){{0,3}} (?:{REPORT})\b")
+_REPORTED = re.compile(rf"\b(?:{REPORT})\b")
 _NONLATIN = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Devanagari}\p{Thai}\p{Arabic}]")
 
 
+def _ends_with_quote(s: str, start: int, a: int, b: int) -> bool:
+    """Does the quotation ``a``..``b`` hold a whole sentence that ends with it?"""
+    inner = s[a + 1 : b].rstrip()
+    if not inner or inner[-1] not in ".!?…。．！？।॥؟" or not _after_quote(s, start, a, b):
+        return False
+    return not (a > start and _SHORT_END.search(inner))
+
+
 def _after_quote(s: str, start: int, a: int, b: int) -> bool:
     """Does the sentence that began at ``start`` end with the quotation ``a``..``b``, whose last character is a stop?"""
     k = _AFTER_SPACE.match(s, b + 1).end()
@@ -180,39 +224,29 @@ def _after_quote(s: str, start: int, a: int, b: int) -> bool:
         if lead:
             return s.startswith("と", k) is False
         return False  # the words that report it follow
-    return not _REPORT.match(s, k)
+    return bool(_REPORTED.search(lead)) or not _REPORT.match(s, k)
 
 
 def split_paragraph(s: str, lang: str) -> list[int]:
     """Ends of the sentences of a paragraph, the last one left out."""
-    rules, spans, ends = TABLES[lang], _quotes(s), []
+    (rules, plain), spans, ends = TABLES[lang], _quotes(s), []
     start = at = 0
-    events = [(m.start(), m.end(), None) for m in _STOP.finditer(s)] + [(b, b + 1, (a, b)) for a, b, q in spans if q]
-    events.sort(key=lambda e: (e[0], e[1]))
-    n = len(spans)
-    for lo, hi, quote in events:
-        if lo < start:
-            continue
-        while at < n and spans[at][1] < lo:
+    n, size = len(spans), len(s)
+    for m in chain(_STOP.finditer(s), (None,)):
+        lo, hi = m.span() if m else (size, size)
+        while at < n and spans[at][1] < lo:  # quotations that end before this stop
+            a, b, quotation = spans[at]
             at += 1
-        if quote is None:
-            if at < n and spans[at][0] < lo <= spans[at][1]:
-                continue
-            while hi < len(s) and s[hi] in ")]）":
+            if quotation and b >= start and _ends_with_quote(s, start, a, b):
+                start = b + 1
+                ends.append(start)
+        if m is None or lo < start or at < n and spans[at][0] < lo:
+            continue
+        table, breaks = plain if s[hi - 1] == "." and hi > 1 and s[hi - 2] < "\x80" else rules[s[hi - 1]]
+        row = table.match(s, hi)
+        if row is not None and breaks[row.lastindex - 1]:
+            while hi < size and s[hi] in ")]）":
                 hi += 1
-            before, cut = s[max(start, lo - 40) : hi].lstrip(), False
-            stop = before.rstrip(")]）")
-            for b, p, q in rules:
-                if p.search(stop) and q.match(s, hi):
-                    cut = b
-                    break
-        else:
-            a, b = quote
-            inner = s[a + 1 : b].rstrip()
-            cut = bool(inner) and inner[-1] in ".!?…。．！？।॥؟" and _after_quote(s, start, a, b)
-            if inner.endswith(".") and cut and re.search(r"(?<![\p{L}\p{N}])(?:Jr|Sr|Inc|Ltd|Co)\.$", inner) and a > start:
-                cut = False
-        if cut:
             ends.append(hi)
             start = hi
     return ends
@@ -222,17 +256,17 @@ def _unit(lines: list[tuple[int, int, str]], i: int) -> str:
     """Kind of a line: entry, label, greeting, closing or text."""
     t = lines[i][2]
     prev = lines[i - 1][2] if i else ""
-    if _LIST.match(t) and (not prev.strip() or _LIST.match(prev) or _ENDS.search(prev) or len(prev) < 45 and not re.search(r"\p{Ll}$", prev.rstrip())):
+    if _LIST.match(t) and (not prev.strip() or _LIST.match(prev) or _ENDS.search(prev) or not _RUNS_ON.search(prev)):
         return "entry"
     if _KNOWN.match(t):
         return "label"
     if m := _LABEL.match(t):
         for j in (i - 1, i + 1):
-            if 0 <= j < len(lines) and (o := _LABEL.match(lines[j][2])) and o[1] != m[1] and len(lines[j][2]) < 60:
+            if 0 <= j < len(lines) and (o := _LABEL.match(lines[j][2])) and o[1] != m[1]:
                 return "label"
     if _CLOSING.fullmatch(t):
         return "closing"
-    if _GREET.fullmatch(t) and len(t) < 70 and (t.rstrip()[-1:] in ",،，:!、" or i + 1 >= len(lines)):
+    if _GREET.fullmatch(t) and (t.rstrip()[-1:] in ",،，:!、" or i + 1 >= len(lines)):
         return "greeting"
     return "text"
 
@@ -271,10 +305,10 @@ def sentences(text: str) -> list[tuple[int, int]]:
         for i in range(len(block)):
             a, b, t = block[i]
             kind = _unit(block, i)
-            if kind == "text" and after == "closing" and len(t) < 50 and not _ENDS.search(t):
+            if kind == "text" and after == "closing" and not _ENDS.search(t):
                 kind = "signature"
-            if kind == "text" and after == "entry" and open_ < 0 and len(block[i - 1][2]) >= 55 and not _ENDS.search(block[i - 1][2]):
-                # an entry wrapped by its width goes on
+            if kind == "text" and after == "entry" and open_ < 0 and not _ENDS.search(block[i - 1][2]):
+                # an entry without a stop goes on
                 s, _ = out.pop()
                 add(s, b)
                 continue

@@ -1,6 +1,7 @@
 """Vectors, canonical lists, packing, mixing and sentences."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -150,3 +151,23 @@ def test_long_runs_are_counted_whole():
     encode = tokens.encoder(os.path.join(tokens.TOKENIZER_DIR, tokens.TOKENIZER))
     text = "語文字中国人" * 3_333
     assert tokens.count(text, encode) == len(encode(text))
+
+
+def test_long_quotations_are_whole():
+    text = '"' + "I want my money back. " * 150 + 'It is late," wrote Ms. Ulvo on 5 Sept. 2024. Then she left.'
+    assert [text[a:b] for a, b in p10_sentences.sentences(text)] == [text[:-15], "Then she left."]
+
+
+def test_marks_without_partner_take_linear_time():
+    def spent(n):
+        t = time.perf_counter()
+        assert len(p10_sentences.sentences("(" * n + "“" * n + " y " + "]" * n + "»" * n + ".")) == 1
+        return time.perf_counter() - t
+
+    spent(100)
+    assert spent(80_000) < 5
+
+
+def test_what_follows_reported_speech_is_new():
+    text = 'Rev. Yel asked, "Is it safe?" Nobody answered at extn. 30... then the line went dead.'
+    assert [text[a:b] for a, b in p10_sentences.sentences(text)] == ['Rev. Yel asked, "Is it safe?"', "Nobody answered at extn. 30... then the line went dead."]
