@@ -29,15 +29,36 @@ def test_nearest(spark):
     assert p4_neighbours.nearest([(df.limit(0), "rec_id", "vector")]).count() == 0
 
 
-def test_router_finds_neighbours():
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(40, 64))[rng.integers(40, size=1500)] + 0.5 * rng.normal(size=(1500, 64))
+def _clustered(n, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n // 25, 64))[rng.integers(n // 25, size=n)] + 0.5 * rng.normal(size=(n, 64))
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    s = np.round(x.astype(np.float64) @ x.T.astype(np.float64), 6)
+    np.fill_diagonal(s, -2)
+    return x, {(i, int(j)) for i in range(n) for j in np.lexsort((np.arange(n), -s[i]))[:5]}
+
+
+def test_parts_are_balanced_and_keep_neighbours():
+    x, best = _clustered(1500, 1)
     near = p4_neighbours.neighbour_graph(x, 8)
-    label = p4_neighbours.balanced_parts(near, p4_neighbours.spherical_means(x, 6), 6)
-    w, b = p4_neighbours.softmax_fit(x, label, 6)
+    label = p4_neighbours.balanced_parts(near, p4_neighbours.bisect(x, 200), 240)
+    parts = int(label.max()) + 1
+    assert np.bincount(label).max() <= 240 and parts > 6
+    w, b = p4_neighbours.softmax_fit(x, label, parts)
     home = (x @ w + b).argmax(1)
-    assert (home[near[:, :5]] == home[:, None]).mean() > 0.9
+    assert (home[near[:, :5]] == home[:, None]).mean() > 0.8
+
+
+@pytest.mark.parametrize("part,block,coverage,least", [(100, 6000, 0.95, 0.97), (100, 30, 0.95, 0.97), (5000, 500, 1.0, 1.0)])
+def test_nearest_in_many_parts(spark, part, block, coverage, least):
+    x, best = _clustered(3000, 2)
+    df = spark.createDataFrame([(int(i), [float(v) for v in x[i]]) for i in range(len(x))], "rec_id bigint, vector array<float>")
+    tree = p4_neighbours.fit_tree(df.toDF("id", "v"), 3000, 64, 512, part, block)
+    if part == 100:
+        assert len(tree.blocks) > 20 and tree.below  # two levels
+    assert (tree.blocks.max() > 1) == (block < 6000)
+    got = {(r.id, r.other) for r in p4_neighbours.nearest([(df, "rec_id", "vector")], dim=64, sample=512, part=part, block=block, coverage=coverage).collect()}
+    assert len(got) == 15_000 and len(got & best) / len(best) >= least
 
 
 def test_canonical():
