@@ -95,6 +95,10 @@ class Nicknames:
                 full.setdefault(fold(nick), {fold(nick)}).add(fold(given))
         self.of = {k: frozenset(v) for k, v in full.items()}
 
+    def written_out(self, token: str) -> str:
+        """The first given name, by the alphabet, that ``token`` is short for; itself where it is none."""
+        return min((g for g in self.of.get(token, ()) if g != token), default=token)
+
     def same(self, a: str, b: str) -> bool:
         x, y = self.of.get(a), self.of.get(b)
         if x and y:

@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 
@@ -192,12 +193,48 @@ def test_names_link_by_misspelt_mailbox(spark, cities, nicks):
 def test_names_link_by_town_at_the_threshold(spark, cities, nicks):
     users = spark.createDataFrame([(1, "Sunita Elnar", None, None, None, None, "Selsor", None), (2, "Sunita Elnar", None, None, None, None, "Dormar", None)], USERS)
     held = customers(spark, [(11, "a", None, "SNUITA ELNAR", None, None, "12 Tolin Road, Selsor")])
-    a, b = (p5_names.canonical(names.parse(x)) for x in ("Sunita Elnar", "SNUITA ELNAR"))
+    nick = names.Nicknames(NICKS)
+    a, b = (p5_names.canonical(names.parse(x), nick) for x in ("Sunita Elnar", "SNUITA ELNAR"))
     canon = spark.createDataFrame([(x,) for x in (a, a, b)], "canon string")
     assert p5_names.THRESHOLD <= p5_names.Cosine(p5_names.trigram_weights(canon))(a, b) < 0.5
     assert pairs(p5_names.link_names(users, held, cities, nicks)) == {(1, 11)}
 
 
+def test_names_link_through_their_group(spark, cities, nicks):
+    users = spark.createDataFrame([(1, "Edward Morlun", "edward.morlun1ab2@x.test", None, None, None, None, None)], USERS)
+    held = customers(spark, [
+        (11, "a", "A1", "Ed Morlun", "9876543210", "edward.morlun1ab2@y.test", None), (12, "b", None, "Edward Morlun", "9876543210", None, None),  # by way of 11
+        (13, "a", "A1", "E. Morlun", None, None, None), (14, "a", "A1", "Susan Halvek", None, None, None),  # one customer id, another name
+        (15, "c", None, "Edward Morlun", "9876543210", "susan1zz9@x.test", None),
+    ])
+    assert pairs(p5_names.link_names(users, held, cities, nicks)) == {(1, 11), (1, 12), (1, 13), (1, 15)}
+
+
+@pytest.mark.parametrize("cell", [1, 2, 4000])
+def test_towns_in_cells(spark, cell):
+    rows = [(i, f"Edward Morl{'aeiou'[i % 5]}n", f"edward morl{'aeiou'[i % 5]}n", "" if i % 3 else "x", "", "7" if i % 4 else "") for i in range(24)]
+    schema = "id long, name string, canon string, e string, p string, t string"
+    u, c = spark.createDataFrame(rows[:12], schema), spark.createDataFrame(rows[12:], schema)
+    got = pairs(p5_names.town_links(u, c, names.Nicknames(NICKS), np.ones(p5_names.BUCKETS, np.float32), 0.25, cell))
+    assert got == {(a[0], b[0]) for a in rows[:12] for b in rows[12:] if a[5] and b[5] and not (a[3] and b[3])}
+
+
+def test_average_linkage_against_brute_force():
+    r = np.random.default_rng(3)
+    x = np.abs(r.normal(size=(14, 6))) * (r.random((14, 6)) < 0.5)
+    x[x.sum(1) == 0, 0] = 1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    groups = [[i] for i in range(14)]
+    s = x @ x.T
+    while len(groups) > 1:
+        m, a, b = max((s[np.ix_(p, q)].mean(), i, j) for i, p in enumerate(groups) for j, q in enumerate(groups) if i < j)
+        if m < 0.5:
+            break
+        groups[a] += groups.pop(b)
+    got = p5_names.average_linkage([(np.flatnonzero(v), v[v > 0]) for v in x], [1] * 14, 0.5)
+    assert {frozenset(g) for g in groups} == {frozenset(i for i in range(14) if got[i] == k) for k in set(got)}
+
+
 def test_names():
     nick = names.Nicknames([*names.COMMON, *NICKS])
     level = lambda a, b: names.compatible(names.parse(a), names.parse(b), nick)
