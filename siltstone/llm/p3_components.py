@@ -26,37 +26,46 @@ def _shift(v: Column, level: int, beta: float) -> Column:
 
 
 def _grow(edges: DataFrame, level: int, beta: float, rounds: int) -> DataFrame:
-    """(v, c): the centre of each vertex after ``rounds`` rounds of shifted growth over symmetric ``edges`` (src, dst)."""
-    label = edges.groupBy(F.col("src").alias("v")).agg(F.lit(1).alias("_"))
-    label = label.select("v", F.struct((-_shift(F.col("v"), level, beta)).alias("d"), F.col("v").alias("c")).alias("l"))
+    """(v, c): the centre of each vertex after ``rounds`` rounds of shifted growth over symmetric ``edges`` (src, dst, len).
+
+    Each vertex has an edge of length 0 to itself, so a round reads the labels once: the plan grows with the rounds, it isn't
+    doubled by them.
+    """
+    v = F.col("v")
+    label = edges.filter("len = 0").select(F.col("src").alias("v"), F.struct((-_shift(F.col("src"), level, beta)).alias("d"), F.col("src").alias("c")).alias("l"))
     for _ in range(rounds):
-        reached = edges.join(label, edges.src == label.v).select(
-            F.col("dst").alias("v"), F.struct((F.col("l.d") + 1).alias("d"), F.col("l.c").alias("c")).alias("l")
-        )
-        label = label.unionByName(reached).groupBy("v").agg(F.min("l").alias("l"))
+        reached = edges.join(label.hint("merge"), F.col("src") == v)
+        label = reached.groupBy(F.col("dst").alias("v")).agg(F.min(F.struct((F.col("l.d") + F.col("len")).alias("d"), F.col("l.c").alias("c"))).alias("l"))
     return label.select("v", F.col("l.c").alias("c"))
 
 
 def connected_groups(edges: DataFrame, beta: float = 0.2, rounds: int = 4) -> DataFrame:
     """(v, root) for every vertex of ``edges`` (a, b: bigint); all vertices of one component have one root.
 
-    ``beta`` and ``rounds`` change only how many levels are needed (the edges left fall by a constant factor a level).
+    ``beta`` and ``rounds`` change only how many levels are needed (the edges left fall by a constant factor a level). Joins are
+    merges, which spill: what a compressed table takes in memory isn't known from its size.
     """
     canonical = lambda e: e.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left, centres = materialize(canonical(edges)), []
     while True:
-        sym = left.selectExpr("inline(array(struct(a as src, b as dst), struct(b as src, a as dst)))")
+        both = left.selectExpr("inline(array(struct(a as src, b as dst), struct(b as src, a as dst)))")
+        loops = both.select("src").distinct().select("src", F.col("src").alias("dst"))
+        sym = materialize(both.withColumn("len", F.lit(1.0)).unionByName(loops.withColumn("len", F.lit(0.0))))
         centre = materialize(_grow(sym, len(centres), beta, rounds))
         centres.append(centre)
-        ca, cb = centre.toDF("a", "ca"), centre.toDF("b", "cb")
+        ca, cb = centre.toDF("a", "ca").hint("merge"), centre.toDF("b", "cb").hint("merge")
         rest = materialize(canonical(left.join(ca, "a").join(cb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
-        release(left)
+        release(left, sym)
         left = rest
         if rest.isEmpty():
             break
     whole = centres[0].toDF("v", "root")
     for centre in centres[1:]:  # each level is smaller by a constant factor
         whole = whole.join(centre.toDF("root", "next"), "root", "left").select("v", F.coalesce("next", "root").alias("root"))
+    if len(centres) > 1:
+        whole = materialize(whole)
+        release(*centres)
+    release(left)
     return whole
 
 
