@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 #: Folder of vocabulary files on every machine, and the file to use; byte-level BPE for many languages.
 TOKENIZER_DIR = os.environ.get("SILTSTONE_TOKENIZERS", "/opt/tokenizers")
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
-_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+# --- fixed values: how the vocabulary's tokenizer cuts a text before it merges bytes
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# --------------------------------------------------------------------------
 
 
 @lru_cache(maxsize=4)
@@ -22,13 +24,7 @@ def encoder(path: str) -> Callable[[str], list[int]]:
 
     with open(path, encoding="ascii") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    try:
-        import public_tokenizers
-
-        pattern = public_tokenizers.PATTERN
-    except ImportError:
-        pattern = _PATTERN
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 def count(text: str, encode: Callable[[str], list[int]]) -> int:
