@@ -2,7 +2,8 @@
 
 Distinct values are mapped once, then joined back. A multi-pattern automaton over the names and second names of the list finds
 all embedded mentions at word boundaries; the longest non-overlapping one wins. Values without a mention go to token-set
-similarity (any order, plural endings, shortened words, vowels left out) and at last to the one entry within the edits that a
+similarity (words in any order, each equal to a word of the entry but for its plural or a typing error, weighted by rarity in the list),
+then shortened words and words without vowels, and at last to the one entry within the edits that a
 name of its length allows, as a whole or as a run of words; an entry is only taken if no other is as close.
 
 Defined cases: null tokens give no row; values without an entry give -1 and are reported by ``unmatched``; of several mentions
@@ -11,6 +12,7 @@ the longest, then the first counts; repeated values are mapped alike; an empty l
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -23,6 +25,7 @@ from ..session import blank_or_null, materialize, table
 from .p1_entities import small_list
 from .strings import edits, fold, unscan
 
+SIMILAR = 0.8  # weighted Jaccard of the words of a value and an entry
 _AND = frozenset(("and", "n"))
 
 
@@ -48,7 +51,8 @@ class Canon:
 
     def __init__(self, entries: Iterable[tuple[int, str, str | None]]):
         self.exact: dict[str, int] = {}
-        self.sets: dict[frozenset[str], int] = {}
+        self.sets: dict[tuple[str, ...], int] = {}
+        self.having: dict[str, set[tuple[str, ...]]] = {}
         self.bones: dict[str, set[int]] = {}
         self.forms: list[tuple[str, tuple[str, ...], int]] = []
         self.most = 1
@@ -60,7 +64,10 @@ class Canon:
                 joined = "".join(words)
                 self.exact.setdefault(" ".join(words), rid)
                 self.exact.setdefault(" ".join(map(_stem, words)), rid)
-                self.sets.setdefault(frozenset(map(_stem, words)), rid)
+                tokens = tuple(sorted(set(map(_stem, words))))
+                self.sets.setdefault(tokens, rid)
+                for w in tokens:
+                    self.having.setdefault(w, set()).add(tokens)
                 self.bones.setdefault(_bones(joined), set()).add(rid)
                 self.bones.setdefault("".join(map(_bones, words)), set()).add(rid)
                 self.forms.append((joined, words, rid))
@@ -75,14 +82,42 @@ class Canon:
         if self.exact:
             self.auto.make_automaton()
 
-    def mention(self, words: list[str]) -> int | None:
-        best = None
+    def mentions(self, words: list[str]) -> list[tuple[int, int, int]]:
+        """(length, end, id) of the embedded names that don't overlap: longer ones first, then earlier ones."""
+        hits = []
         for variant in (words, [_stem(w) for w in words]):
             text = f" {' '.join(variant)} "
-            for end, (n, rid) in self.auto.iter(text):
-                if best is None or n > best[0] or (n == best[0] and end < best[1]):
-                    best = (n, end, rid)
-        return best[2] if best else None
+            hits += [(n, end, rid) for end, (n, rid) in self.auto.iter(text)]
+        kept: list[tuple[int, int, int]] = []
+        for n, end, rid in sorted(hits, key=lambda h: (-h[0], h[1])):
+            if all(end <= e - m or end - n >= e for m, e, _ in kept):
+                kept.append((n, end, rid))
+        return kept
+
+    def mention(self, words: list[str]) -> int | None:
+        found = self.mentions(words)
+        return found[0][2] if found else None
+
+    def _weight(self, token: str) -> float:
+        return math.log(1 + len(self.sets) / max(1, len(self.having.get(token, ()))))
+
+    def similar(self, words: list[str], least: float = SIMILAR) -> int | None:
+        """The one entry whose words are most like ``words`` as a set, by weighted Jaccard of at least ``least``."""
+        mine = {}  # word -> the words of the list it may stand for
+        for w in map(_stem, words):
+            mine[w] = {w} if w in self.having else {t for t in self.having if abs(len(t) - len(w)) <= (k := _errors(min(len(t), len(w)))) and k and edits(w, t, k) <= k}
+        best: dict[int, float] = {}
+        for tokens in {s for near in mine.values() for t in near for s in self.having[t]}:
+            met = [t for t in tokens if any(t in near for near in mine.values())]
+            strange = [w for w, near in mine.items() if not near & set(tokens)]
+            same = sum(map(self._weight, met))
+            score = same / (sum(map(self._weight, tokens)) + sum(map(self._weight, strange)))
+            rid = self.sets[tokens]
+            if score >= least and score > best.get(rid, 0.0):
+                best[rid] = score
+        top = max(best.values(), default=0.0)
+        hits = [r for r, x in best.items() if x == top]
+        return hits[0] if len(hits) == 1 else None
 
     def _closest(self, s: str, tolerance: int) -> int | None:
         found: dict[int, int] = {}
@@ -108,7 +143,7 @@ class Canon:
         joined = "".join(letters)
         if (rid := self.compact.get(joined, self.compact.get(_stem(joined)))) is not None:
             return rid
-        if (rid := self.sets.get(frozenset(map(_stem, letters)))) is not None:
+        if (rid := self.similar(letters)) is not None:
             return rid
         # shortened words: each is the beginning of its word, in any order
         hits = {rid for _, form, rid in self.forms if len(form) == len(letters) and any(len(w) < len(f) for w, f in zip(letters, form)) and all(f.startswith(w) and len(w) > 2 for w, f in zip(letters, form))}
@@ -146,7 +181,9 @@ def map_values(records: DataFrame, value: str, entries: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([canon.find(s) for s in b.column(0).to_pylist()], pa.int64())], names=["v", "ref_id"])
 
     usable = records.select("rec_id", F.col(value).alias("v")).filter(~blank_or_null(F.col("v")))
-    mapped = materialize(usable.select("v").distinct().mapInArrow(run, "v string, ref_id long"))
+    # matching takes far longer than the few bytes of the values suggest: as many tasks as cores
+    distinct = usable.select("v").distinct().repartition(records.sparkSession.sparkContext.defaultParallelism, "v")
+    mapped = materialize(distinct.mapInArrow(run, "v string, ref_id long"))
     return usable.join(mapped, "v").select("rec_id", F.col("v").alias("value"), "ref_id")
 
 
