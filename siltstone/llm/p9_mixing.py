@@ -1,10 +1,10 @@
 """Problem 9: mixing sources to target weights by weighted fair queueing.
 
 Distinct texts of the listed sources are shuffled by hash, pass after pass up to the source's cap. Each use gets a virtual finish
-time, the tokens its source has sent so far divided by the source's weight; uses are taken in order of that time until the budget is
-used up. A source's running sum is built in two steps (sums of bounded runs, then sums within a run), so a source that holds most
-rows is never gathered in one task; and as finish times of a source rise with its running sum, taking in order of time up to a
-budget comes down to one cut-off time, found from the sources' totals on the driver: the global sort is not needed.
+time, the tokens its source has sent so far divided by the source's weight. All uses are ranged by that time, added up in its
+order and cut off at the budget. Sums are built in two steps, those of bounded runs and then those within a run, so neither a source
+that holds most rows nor the whole order is ever gathered in one task; time is cut into slots that hold a bounded number of tokens,
+as all sources together send at most the sum of their weights in a unit of time.
 
 Defined cases: null and blank texts and sources that are not listed take no part; source names are compared in lower case,
 trimmed, with ``_`` for any separator; of equal texts the document of smallest id stands for all, so no text is used more often
@@ -28,18 +28,6 @@ def source_name(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))), r"[\s\-.]+", "_")
 
 
-def cutoff(sources: dict[str, tuple[float, int, int]], budget: float) -> float:
-    """Virtual time at which the sources, (weight, tokens of one pass, passes), have sent ``budget`` tokens together."""
-    lo, hi = 0.0, max((t * p / w for w, t, p in sources.values() if w > 0), default=0.0)
-    sent = lambda v: sum(min(v * w, t * p) for w, t, p in sources.values())
-    if sent(hi) <= budget:
-        return hi
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if sent(mid) < budget else (lo, mid)
-    return hi
-
-
 def mix(sized: DataFrame, targets: DataFrame, run: int = RUN) -> tuple[DataFrame, DataFrame]:
     """Uses per document (doc_id, source, tokens, uses) and reached shares, of ``sized`` (doc_id, source, h, tokens).
 
@@ -52,12 +40,12 @@ def mix(sized: DataFrame, targets: DataFrame, run: int = RUN) -> tuple[DataFrame
     keep = docs.groupBy("h").agg(F.min(F.struct("doc_id", "source", "tokens")).alias("d")).select("d.*")
     keep = materialize(keep)
     totals = {r.source: (r.t, r.n) for r in keep.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()}
-    queues = {s: (w, totals[s][0], p) for s, (w, p) in listed.items() if s in totals}
-    until = cutoff(queues, budget)
+    queues = {s: (w, totals[s][0], p) for s, (w, p) in listed.items() if s in totals and w > 0}
     spark = sized.sparkSession
     if not queues:
         empty = spark.createDataFrame([], "doc_id long, source string, tokens long, uses long")
         return empty, spark.createDataFrame([], "source string, target_share double, max_repeats long, documents long, uses long, tokens long, reached_share double")
+    keep = keep.filter(F.col("source").isin(list(queues)))
     runs = {s: max(1, -(-totals[s][1] // run)) for s in queues}
     pick = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("source")]
     shuffle = F.xxhash64("doc_id", F.lit(9))
@@ -66,10 +54,18 @@ def mix(sized: DataFrame, targets: DataFrame, run: int = RUN) -> tuple[DataFrame
     before = sums.withColumn("before", F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("t")
     inside = Window.partitionBy("source", "b").orderBy(F.shiftrightunsigned("o", 11), "o", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     cum = at.join(before, ["source", "b"]).withColumn("sent", F.col("before") + F.sum("tokens").over(inside))
-    # the p-th use finishes at (sent + (p - 1) * tokens of the source) / weight; uses up to the cut-off are taken
-    full = pick({s: float(q[1]) for s, q in queues.items()})
-    uses = F.least(pick({s: q[2] for s, q in queues.items()}).cast("double"), F.floor((F.lit(until) * pick({s: q[0] for s, q in queues.items()}) - F.col("sent")) / full + F.lit(1e-12)) + 1)
-    taken = cum.select("doc_id", "source", "tokens", F.greatest(F.lit(0), uses).cast("long").alias("uses")).filter("uses > 0")
+    # the p-th use of a text finishes at (sent + (p - 1) * tokens of the source) / weight
+    weight, full = pick({s: q[0] for s, q in queues.items()}), pick({s: float(q[1]) for s, q in queues.items()})
+    passes = F.explode(F.sequence(F.lit(1), pick({s: q[2] for s, q in queues.items()})))
+    ends = cum.select("doc_id", "source", "tokens", "sent", passes.alias("pass")).withColumn("finish", (F.col("sent") + (F.col("pass") - 1) * full) / weight)
+    slot = max(1.0, budget / sum(w for w, _, _ in queues.values())) / max(1, -(-sum(n for _, n in totals.values()) // run))
+    ends = ends.withColumn("slot", F.floor(F.col("finish") / slot))
+    # slots are few: the time of the slowest source over that of a slot
+    of_slot = ends.groupBy("slot").agg(F.sum("tokens").alias("t"))
+    ahead = of_slot.withColumn("ahead", F.coalesce(F.sum("t").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("ahead") < budget).drop("t")
+    order = Window.partitionBy("slot").orderBy("finish", "source", "doc_id", "pass").rowsBetween(Window.unboundedPreceding, 0)
+    sent = ends.join(ahead, "slot").withColumn("all", F.col("ahead") + F.sum("tokens").over(order)).filter(F.col("all") <= budget)
+    taken = sent.groupBy("doc_id", "source", "tokens").agg(F.count("*").alias("uses"))
     got = taken.groupBy("source").agg(F.count("*").alias("documents"), F.sum("uses").alias("uses"), F.sum(F.col("tokens") * F.col("uses")).alias("tokens"))
     wanted = spark.createDataFrame([(s, w, p) for s, (w, p) in listed.items()], "source string, target_share double, max_repeats long")
     report = wanted.join(got, "source", "left").na.fill(0, ["documents", "uses", "tokens"])
