@@ -11,12 +11,15 @@ a missing timestamp before the earliest; ties go to the smaller ``rec_id``; an e
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CLEAN_NULLS
-from ..session import blank_or_null, materialize, table
+from ..session import blank_or_null, materialize, release, table
 from .keys import id_key
+from .p1_entities import small_list
 
 FIELDS = ("name", "email", "address")
 
@@ -36,8 +39,9 @@ def survivors(customers: DataFrame, trust: DataFrame) -> DataFrame:
     """(group_id, field, rec_id, value): the record that supplies each field of each group of two or more records."""
     c = F.col("cleaned_record")
     rec = customers.select(id_key(c["customer_id"]).alias("k"), "rec_id", "timestamp", F.col("metadata.channel").alias("channel"), *[c[f].alias(f) for f in FIELDS]).filter("k is not null")
-    # channel_trust: fixed list of channels, a handful of rows
-    rec = rec.join(F.broadcast(trust.groupBy("channel").agg(F.max("trust").alias("trust"))), "channel", "left")
+    listed = small_list(trust.groupBy("channel").agg(F.max("trust").alias("trust")))
+    known = customers.sparkSession.createDataFrame([tuple(r) for r in listed], "channel string, trust long")
+    rec = rec.join(F.broadcast(known), "channel", "left")
     rank = [(-F.coalesce("trust", F.lit(-(1 << 31)))).alias("t"), (-F.coalesce(F.unix_micros(F.col("timestamp").cast("timestamp")), F.lit(-(1 << 62)))).alias("s"), F.col("rec_id").alias("r")]
     best = [F.min(F.when(usable(f, F.col(f)), F.struct(*rank, F.col(f).alias("value")))).alias(f) for f in FIELDS]
     groups = rec.groupBy("k").agg(F.min("rec_id").alias("group_id"), F.count("*").alias("n"), *best).filter("n > 1")
@@ -50,14 +54,15 @@ def _plain(field: str, c: Column) -> Column:
     return F.when(usable(field, c), F.lower(F.regexp_replace(c, r"[^\p{L}\p{Nd}@]+", " ")))
 
 
-def fuse(customers: DataFrame, rounds: int = 3, n_false: float = 20.0, copy_prior: float = 0.1, copy_rate: float = 0.8, start: float = 0.8, max_sources: int = 64) -> DataFrame:
+def fuse(customers: DataFrame, rounds: int = 10, settled: float = 0.002, n_false: float = 20.0, copy_prior: float = 0.1, copy_rate: float = 0.8, start: float = 0.8, max_sources: int = 64) -> DataFrame:
     """(group_id, field, rec_id, value, posterior, votes): the surviving value by Bayesian fusion with copy detection.
 
     Sources are the systems of ``metadata.source`` and ``metadata.channel``; there may be ``max_sources`` of them, so what the driver holds (an accuracy a source, a
     dependence a pair of sources) is of bounded size.
     Each round: values get the log-odds ``sum ln(n_false * A / (1 - A))`` over their sources, a vote discounted by the chance
     that it was copied from a more accurate source for the same value; accuracies are the mean posterior of what a source
-    claims; two sources depend on each other by Bayes' rule over how often they share false values, share true ones or differ.
+    claims; two sources depend on each other by Bayes' rule over how often they share false values, share true ones or differ,
+    given those accuracies. Rounds end when no accuracy moves by more than ``settled``, or after ``rounds``.
     """
     c = F.col("cleaned_record")
     rec = customers.select(id_key(c["customer_id"]).alias("k"), "rec_id", F.coalesce("metadata.source", F.lit("?")).alias("source"), *[c[f].alias(f) for f in FIELDS], F.coalesce("metadata.channel", F.lit("?")).alias("channel")).filter("k is not null")
@@ -72,7 +77,7 @@ def fuse(customers: DataFrame, rounds: int = 3, n_false: float = 20.0, copy_prio
     names = [r.s for r in claims.select(F.explode("sources").alias("s")).distinct().limit(max_sources + 1).collect()]
     if len(names) > max_sources:
         raise ValueError(f"more than {max_sources} sources: they are to be merged first, or max_sources raised")
-    accuracy, copies = dict.fromkeys(names, start), {}
+    accuracy, copies, done = dict.fromkeys(names, start), {}, False
     for step in range(rounds + 1):
         if not names:
             return claims.select("group_id", "field", "first.*", F.lit(0.0).alias("posterior"), F.size("sources").alias("votes"))
@@ -89,21 +94,41 @@ def fuse(customers: DataFrame, rounds: int = 3, n_false: float = 20.0, copy_prio
         top = scored.groupBy("group_id", "field").agg(F.max("score").alias("top"), F.sum(F.exp(F.least("score", F.lit(500.0)))).alias("mass"), F.count("*").alias("values"))
         unseen = F.greatest(F.lit(n_false) + 1 - F.col("values"), F.lit(0.0))
         posterior = scored.join(top, ["group_id", "field"]).withColumn("posterior", F.exp(F.least("score", F.lit(500.0))) / (F.col("mass") + unseen))
-        if step == rounds:
+        if step == rounds or done:
             best = posterior.groupBy("group_id", "field").agg(F.max_by(F.struct("first", "posterior", "sources"), F.struct("posterior", -F.col("first.rec_id"))).alias("b"))
             return best.select("group_id", "field", F.col("b.first.rec_id").alias("rec_id"), F.col("b.first.value").alias("value"), F.round("b.posterior", 6).alias("posterior"), F.size("b.sources").alias("votes"))
         known = materialize(posterior.select("group_id", "field", "sources", "posterior"))
-        accuracy = {r.s: min(0.99, max(0.05, r.a)) for r in known.select(F.explode("sources").alias("s"), "posterior").groupBy("s").agg(F.avg("posterior").alias("a")).collect()}
+        before, estimated = accuracy, {r.s: min(0.99, max(0.05, r.a)) for r in known.select(F.explode("sources").alias("s"), "posterior").groupBy("s").agg(F.avg("posterior").alias("a")).collect()}
+        # votes that are copies count in full at first: accuracies are taken from them only once copies are known
+        accuracy = estimated if step else accuracy
+        done = step > 0 and max(abs(accuracy[n] - before[n]) for n in accuracy) <= settled
         each = known.select("group_id", "field", F.explode("sources").alias("s"), "posterior", F.col("sources").alias("same"))
         both = each.groupBy("group_id", "field").agg(F.collect_set("s").alias("all"))
         shared = known.select(F.explode(F.expr("filter(flatten(transform(sources, (x, i) -> transform(sources, (y, j) -> if(i < j, concat(x, '|', y), null)))), z -> z is not null)")).alias("pair"), "posterior").groupBy("pair").agg(F.sum("posterior").alias("true_same"), F.sum(1 - F.col("posterior")).alias("false_same"))
         met = both.select(F.explode(F.expr("filter(flatten(transform(sort_array(`all`), x -> transform(sort_array(`all`), y -> if(x < y, concat(x, '|', y), null)))), z -> z is not null)")).alias("pair")).groupBy("pair").agg(F.count("*").alias("met"))
-        pairs = met.join(shared, "pair", "left").na.fill(0.0).withColumn("differ", F.greatest(F.lit(0.0), F.col("met") - F.col("true_same") - F.col("false_same")))
-        a = F.lit(start)
-        alone = F.col("true_same") * F.log(a * a) + F.col("false_same") * F.log((1 - a) * (1 - a) / n_false) + F.col("differ") * F.log(1 - a * a - (1 - a) * (1 - a) / n_false)
-        copied = F.col("true_same") * F.log(a * copy_rate + a * a * (1 - copy_rate)) + F.col("false_same") * F.log((1 - a) * copy_rate + (1 - a) * (1 - a) / n_false * (1 - copy_rate)) + F.col("differ") * F.log((1 - a * a - (1 - a) * (1 - a) / n_false) * (1 - copy_rate))
-        odds = F.least(F.lit(50.0), F.greatest(F.lit(-50.0), alone - copied)) + F.log(F.lit((1 - copy_prior) / copy_prior))
-        copies = {r.pair: r.p for r in pairs.select("pair", (1 / (1 + F.exp(odds))).alias("p")).collect()}
+        pairs = met.join(shared, "pair", "left").na.fill(0.0)
+        # at most one row a pair of sources
+        copies = {r.pair: dependence(*[accuracy[n] for n in r.pair.split("|")], r.true_same, r.false_same, max(0.0, r.met - r.true_same - r.false_same), n_false, copy_prior, copy_rate) for r in pairs.collect()}
+        release(known)
+
+
+def dependence(a: float, b: float, true_same: float, false_same: float, differ: float, n_false: float, prior: float, rate: float) -> float:
+    """Probability that one of two sources of accuracies ``a`` and ``b`` copies the other, who share and differ as often as given."""
+    chance = (a * b, (1 - a) * (1 - b) / n_false)
+    alone = (*chance, 1 - sum(chance))
+    better = max(a, b)
+    copied = (better * rate + chance[0] * (1 - rate), (1 - better) * rate + chance[1] * (1 - rate), alone[2] * (1 - rate))
+    odds = sum(n * (math.log(x) - math.log(y)) for n, x, y in zip((true_same, false_same, differ), alone, copied))
+    return 1 / (1 + math.exp(min(50.0, max(-50.0, odds))) * (1 - prior) / prior)
+
+
+def plain_vote(customers: DataFrame) -> DataFrame:
+    """(group_id, field, value): the form most records of a group claim, the smaller one of two; what :func:`fuse` is measured against."""
+    rec = customers.select(id_key(F.col("cleaned_record.customer_id")).alias("k"), "rec_id", *[_plain(f, F.col(f"cleaned_record.{f}")).alias(f) for f in FIELDS]).filter("k is not null")
+    groups = rec.groupBy("k").agg(F.min("rec_id").alias("group_id"), F.count("*").alias("n")).filter("n > 1").select("k", "group_id")
+    long = rec.join(groups, "k").select("group_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS])).alias("x")).select("group_id", "x.*").filter("value is not null")
+    votes = long.groupBy("group_id", "field", "value").agg(F.count("*").alias("n"))
+    return votes.groupBy("group_id", "field").agg(F.min(F.struct(-F.col("n"), "value")).alias("b")).select("group_id", "field", "b.value")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,3 +253,20 @@ def test_contacts_and_edits():
     assert contacts.mailbox(" <A.B+shop (at) x.test> ") == "a.b" and contacts.mailbox("nil") == "" and contacts.mailbox(None) == ""
     assert contacts.subscriber("0091-98765 43210") == "9876543210" and contacts.subscriber("1234567890") == "" and contacts.subscriber("8572750306.0") == "8572750306"
     assert edits("abcd", "abdc", 2) == 1 and edits("", "ab", 3) == 2 and edits("kitten", "sitting", 2) == 3
+
+
+def test_fusion_beats_voting_where_sources_copy(spark):
+    r = random.Random(11)
+    rows, truth = [], {}
+    for g in range(250):
+        truth[g] = f"True {g}"
+        said = {s: truth[g] if r.random() < a else f"False {g} {r.randrange(6)}" for s, a in (("a", 0.8), ("b", 0.75), ("c", 0.75), ("h", 0.7), ("d", 0.4))}
+        said |= {s: said["d"] if r.random() < 0.95 else f"False {g} {r.randrange(6)}" for s in ("e", "f")}  # they copy d
+        rows += [(g * 10 + k + 1, s, f"K{g}", v, None, None, None) for k, (s, v) in enumerate(said.items())]
+    df = customers(spark, [x for x in rows])
+    df = df.withColumn("metadata", df.metadata.withField("channel", df.metadata.source))
+    right = lambda found: sum(found[g * 10 + 1].lower() == truth[g].lower() for g in truth) / len(truth)
+    fused = right({x.group_id: x.value for x in p6_survivor.fuse(df).filter("field = 'name'").collect()})
+    voted = right({x.group_id: x.value for x in p6_survivor.plain_vote(df).filter("field = 'name'").collect()})
+    print(f"fused {fused:.3f} voted {voted:.3f}")
+    assert fused >= 0.9 and fused >= voted + 0.1
