@@ -91,8 +91,8 @@ def lay_out(sized: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> D
         return t.select(["doc_id", "piece", "tokens"]).append_column("container", pa.array(where, pa.int64()))
 
     spread = p.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    # a task of its own for each group up to TASKS: small as the rows are, packing them is not
-    return spread.repartition(min(groups, TASKS), "g").groupBy("g").applyInArrow(run, "doc_id long, piece long, tokens long, container long")
+    # a task for every four groups: small as the rows are, packing them is not
+    return spread.repartition(min(max(1, groups // 4), TASKS), "g").groupBy("g").applyInArrow(run, "doc_id long, piece long, tokens long, container long")
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
