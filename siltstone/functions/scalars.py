@@ -239,8 +239,8 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
 
 
 def suffix_mark(c: Column) -> Column:
-    """Trailing single letter, number or roman numeral that tells namesakes apart; "" where there is none."""
-    return F.upper(F.regexp_extract(trimmed(c), r"(?i)\s([a-z]|\d+|ii|iii|iv|vi{0,3}|ix|x)$", 1))
+    """Trailing single letter, number or run of i, v, x that tells namesakes apart; "" where there is none."""
+    return F.regexp_extract(F.lower(trimmed(c)), r"\b([a-z]|[0-9]+|[ivx]+)$", 1)
 
 
 def string_similarity(a: Column, b: Column) -> Column:
@@ -254,8 +254,9 @@ def _similarity(a: Column, b: Column) -> Column:
     jac = F.size(F.array_intersect(ta, tb)) / F.greatest(F.size(F.array_union(ta, tb)), F.lit(1))
     ratio = levenshtein_ratio(a, b)
     short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    pa, pb = F.split(a, " "), F.split(b, " ")
-    initial = (F.size(pa) == F.size(pb)) & (F.size(pa) > 1) & (F.element_at(pa, -1) == F.element_at(pb, -1)) & (F.substring(a, 1, 1) == F.substring(b, 1, 1)) & ((F.length(pa[0]) == 1) | (F.length(pb[0]) == 1))
+    # a leading initial before a name that is otherwise equal
+    behind = lambda x: F.when((F.size(F.split(x, " ")) > 1) & (F.instr(x, " ") == 2), F.substring(x, F.lit(3), F.length(x)))
+    initial = F.coalesce(behind(a) == b, F.lit(False)) | F.coalesce(behind(b) == a, F.lit(False))
     return (
         F.when((a == "") | (b == ""), 0.0)
         .when(a == b, 1.0)

@@ -195,7 +195,7 @@ def resolve_entities(records: DataFrame, cluster_transactions: bool = True) -> t
     joined = member.join(rec, member.v == rec.gid)
     keys = F.array_join(F.array_sort(F.transform(F.map_entries("primary"), lambda e: F.concat(F.upper(e["key"]), F.lit(": "), e["value"]))), "; ")
     agg = joined.groupBy("root").agg(F.first("domain").alias("entity_type"), F.count("*").alias("records_count"), F.min_by("label", F.when(F.col("label").isNotNull(), F.col("gid"))).alias("display_name"), F.sort_array(F.collect_set("filename")).alias("files_involved"), F.sort_array(F.collect_set(F.nullif(keys, F.lit("")))).alias("matched_keys"))
-    numbered = agg.withColumn("n", F.row_number().over(Window.orderBy("root")))  # clusters are few against records
+    numbered = numbered_rows(agg, "root")
     mid = F.concat(F.upper("entity_type"), F.lit("-ENTITY-"), F.lpad(F.col("n").cast("string"), 3, "0"))
     clusters = numbered.withColumn("match_id", F.when(F.col("n") > 999, F.concat(F.upper("entity_type"), F.lit("-ENTITY-"), F.col("n").cast("string"))).otherwise(mid)).withColumn("confidence", F.when(F.size("matched_keys") > 0, 0.98).otherwise(0.88))
     return member.select(F.col("v").alias("gid"), "root"), clusters.select("root", "match_id", "entity_type", F.coalesce("display_name", "match_id").alias("display_name"), "records_count", "files_involved", "matched_keys", "confidence")
@@ -227,7 +227,7 @@ def transaction_edges(sales: DataFrame, customers: DataFrame | None = None, prod
         build = _first_of(customers.withColumn("ph", tail("phone")).filter(F.length("ph") >= 7), "ph", "rid", "id", "name").toDF("ph", "pid", "pname")
         s = s.join(build, "ph", "left")
         by_phone = F.col("customer_name").isNull() & F.col("pid").isNotNull() & F.col("customer_id").isNull()
-        s = s.withColumn("customer_name", F.when(by_phone, F.col("pname")).otherwise(F.col("customer_name"))).withColumn("customer_id", F.when(by_phone, F.col("pid")).otherwise(F.col("customer_id")))
+        s = s.withColumns({"customer_name": F.when(by_phone, F.col("pname")).otherwise(F.col("customer_name")), "customer_id": F.when(by_phone, F.col("pid")).otherwise(F.col("customer_id"))})
     ends = {
         "transaction": (F.col("transaction_id"), F.concat(F.lit("Order #"), F.col("transaction_id"))),
         "customer": (F.col("customer_id"), F.coalesce("customer_name", "customer_id")), "product": (F.col("product_id"), F.coalesce("product_name", "product_id")), "store": (F.col("store_id"), F.coalesce("store_name", "store_id")),
@@ -247,18 +247,21 @@ def unique_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy(*SIGNATURE).agg(F.min(F.struct("at", *rest)).alias("f")).select(F.col("f.at").alias("at"), *[F.col(c) if c in SIGNATURE else F.col(f"f.{c}").alias(c) for c in EDGE_COLUMNS])
 
 
-def number_edges(edges: DataFrame) -> DataFrame:
-    """Ids ``REL-0001`` in source order. Partition sizes are summed first, so numbering needs no single task."""
-    ordered = materialize(edges.orderBy("at").withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
+def numbered_rows(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with ``n``, from 1 in the order of a column. Partition sizes are summed first, so numbering needs no single task."""
+    ordered = materialize(df.orderBy(order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
     sizes = {r._p: r.n for r in ordered.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # a row a partition
     start, at = {}, 0
     for p in sorted(sizes):
         start[p], at = at, at + sizes[p]
-    if not start:
-        return edges.withColumn("edge_id", F.lit(None).cast("string"))
-    offset = F.create_map(*[F.lit(x) for kv in start.items() for x in kv])[F.col("_p")]
-    n = (offset + F.row_number().over(Window.partitionBy("_p").orderBy("_m"))).cast("string")
-    return ordered.withColumn("edge_id", F.concat(F.lit("REL-"), F.when(F.length(n) < 4, F.lpad(n, 4, "0")).otherwise(n))).drop("_p", "_m")
+    offset = F.create_map(*[F.lit(x) for kv in start.items() for x in kv])[F.col("_p")] if start else F.lit(0)
+    return ordered.withColumn("n", (offset + F.row_number().over(Window.partitionBy("_p").orderBy("_m"))).cast("long")).drop("_p", "_m")
+
+
+def number_edges(edges: DataFrame) -> DataFrame:
+    """Ids ``REL-0001`` in source order."""
+    n = F.col("n").cast("string")
+    return numbered_rows(edges, "at").withColumn("edge_id", F.concat(F.lit("REL-"), F.when(F.length(n) < 4, F.lpad(n, 4, "0")).otherwise(n))).drop("n")
 
 
 def foreign_edges(records: DataFrame, stores: DataFrame, rel: str, source: str) -> DataFrame:

@@ -97,11 +97,11 @@ def first_pairs(df: DataFrame, most: int = MAX_COMPARISONS, order: str = RID) ->
 
 
 def blocked_pairs(df: DataFrame, keys: Sequence[Column], order: str = RID) -> DataFrame:
-    """Pairs that share a blocking key, each once: what takes the place of the cap on large tables."""
-    long = df.select(F.struct(*[q(c) for c in df.columns]).alias("r"), F.explode(F.array_distinct(F.array_compact(F.array(*[F.concat(F.lit(f"{k}:"), c) for k, c in enumerate(keys)])))).alias("k"))
-    a, b = long.select("k", F.col("r").alias("a")), long.select("k", F.col("r").alias("b"))
-    pairs = a.join(b, "k").filter(F.col(f"a.{order}") < F.col(f"b.{order}"))
-    return pairs.select(F.col(f"a.{order}").alias("i"), F.col(f"b.{order}").alias("j"), "a", "b").dropDuplicates(["i", "j"])
+    """Pairs that share a blocking key, each once: what takes the place of the cap on large tables. Only ids are paired, rows follow."""
+    long = df.select(q(order).alias("r"), F.explode(F.array_distinct(F.array_compact(F.array(*[F.concat(F.lit(f"{k}:"), c) for k, c in enumerate(keys)])))).alias("k"))
+    pairs = long.toDF("i", "k").join(long.toDF("j", "k"), "k").filter("i < j").select("i", "j").distinct()
+    side = lambda at, s: df.select(q(order).alias(at), F.struct(*[q(c) for c in df.columns]).alias(s))
+    return pairs.join(side("i", "a"), "i").join(side("j", "b"), "j").select("i", "j", "a", "b")
 
 
 def match_records(pairs: DataFrame, columns: Sequence[str], entity: str = "general") -> DataFrame:

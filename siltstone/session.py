@@ -36,17 +36,37 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._siltstone_path = path  # for release()
+    if not _WRITTEN:  # runs before the session is stopped, as it is registered after it was started
+        atexit.register(release_all, df.sparkSession)
+    _WRITTEN.add(path)
     return out
 
 
+_WRITTEN: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete every table :func:`materialize` has written for results that were read by now; also done when the driver ends."""
+    for path in list(_WRITTEN):
+        try:
+            _delete(spark, path)
+        except Exception:  # the session is gone
+            break
+        _WRITTEN.discard(path)
+
+
 def release(*dfs: DataFrame) -> None:
     """Delete tables made by :func:`materialize` that nothing will read again."""
     for df in dfs:
         path = getattr(df, "_siltstone_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            hadoop = jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(df.sparkSession, path)
+            _WRITTEN.discard(path)
 
 
 def blank_or_null(c: Column, words: tuple[str, ...] = CLEAN_NULLS) -> Column:
