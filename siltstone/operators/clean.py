@@ -108,8 +108,8 @@ def provenance(df: DataFrame, limit: int | None = 100, columns: Sequence[str] |
 
 def clean_table(df: DataFrame) -> DataFrame:
     """B1-B3, B5, E1 in their order; keeps ``_rid``."""
-    cols = [c for c in df.columns if c != RID]
-    df = df.toDF(*[RID if c == RID else clean_headers(cols)[cols.index(c)] if cols.count(c) == 1 else c for c in df.columns])
+    heads = iter(clean_headers([c for c in df.columns if c != RID]))
+    df = df.toDF(*[RID if c == RID else next(heads) for c in df.columns])
     return drop_empty_columns(keep_first(drop_empty_rows(clean_cells(drop_empty_rows(as_text(df))))))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import CSV_NULLS, trimmed
-from ..operators.clean import RID, q
+from ..operators.clean import RID, clean_headers, q
 from ..operators.link import flatten
 
 # --- fixed values ---------------------------------------------------------
@@ -64,10 +64,27 @@ def drop_csv_nulls(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.when(~q(f.name).isin(*CSV_NULLS), q(f.name)) for f in df.schema.fields if f.dataType == T.StringType()})
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """A3: all cells as text, blanks after separators and blank lines skipped, lines with too many fields left out."""
-    raw = spark.read.csv(path, sep=sep, header=True, inferSchema=False, ignoreLeadingWhiteSpace=True, mode="DROPMALFORMED", encoding=encoding, escape='"', multiLine=False)
-    return with_rid(drop_csv_nulls(raw))
+def csv_rows(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A3: (rows, lines with more fields than the header) of a CSV file or folder, all cells as text.
+
+    One pass over the lines decides how the file is to be read: as Latin-1 if its bytes are no UTF-8, and whole instead of in
+    splits if a line holds an odd number of quotes, as a quoted cell then may run over a line end. Short lines are filled with nulls.
+    """
+    lines = spark.read.text(path).select("value", (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes"))
+    look = lines.agg(F.max(F.col("quotes") % 2).alias("open"), F.max(~F.is_valid_utf8("value")).alias("foreign")).first()
+    encoding = encoding or ("ISO-8859-1" if look.foreign else "UTF-8")
+    options = {"sep": sep, "encoding": encoding, "escape": '"', "multiLine": bool(look.open), "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": False}
+    head = spark.read.csv(path, header=False, inferSchema=False, **options).limit(1).collect()
+    names = clean_headers([("" if c is None else c).lstrip("\ufeff") for c in head[0]]) if head else []
+    extra = "_extra_field"
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, extra]])
+    raw = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, mode="PERMISSIVE", **options)
+    return with_rid(drop_csv_nulls(raw.filter(q(extra).isNull()).drop(extra))), raw.filter(q(extra).isNotNull())
+
+
+def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None) -> DataFrame:
+    """A3: the rows of :func:`csv_rows`; lines with too many fields are left out, as the second frame there shows them."""
+    return csv_rows(spark, path, sep, encoding)[0]
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame | dict[str, DataFrame]:
@@ -194,8 +211,6 @@ def read_excel(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     data = spark.read.format("binaryFile").load(path).select("content").first()[0]
     out = {}
     for name, (head, *rows) in xlsx_tables(bytes(data)).items():
-        from ..operators.clean import clean_headers
-
         cols = clean_headers(head)
         filled = [(i, *[(r[k] if k < len(r) and r[k] != "" else None) for k in range(len(cols))]) for i, r in enumerate(rows)]
         out[name] = spark.createDataFrame(filled, T.StructType([T.StructField(RID, T.LongType()), *[T.StructField(c, T.StringType()) for c in cols]]))
