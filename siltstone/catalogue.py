@@ -19,6 +19,7 @@ from .operators import retrieval as R
 from .operators import schema as K
 from .operators.entities import CATALOGUE
 from .session import table
+from .sources import sinks as W
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -225,9 +226,11 @@ def d10_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return A.duplicate_issues(_users(spark, d)).select(C.RID)
 
 
-@_query(f"""select "row", "column", "value" from {_LONG_USERS} where "column" = 'Salary' and not {_empty('"value"', S.AUDIT_NULLS)} and ({_number('"value"')}) is null""")
+@_query(f"""select transaction_id || '|' || loaded_at::varchar "row", "column", "value" from (select transaction_id, loaded_at, 'total_amount' "column", grand_total "value" from retail_transactions union all select transaction_id, loaded_at, 'quantity', qty::varchar from retail_transactions)
+where not {_empty('"value"', S.AUDIT_NULLS)} and ({_number('"value"')}) is null""")
 def d11_wrong_types(spark: SparkSession, d: str) -> DataFrame:
-    return A.wrong_types(_users(spark, d))
+    t = _sales(spark, d).select(F.concat_ws("|", "transaction_id", F.date_format("loaded_at", "yyyy-MM-dd HH:mm:ss")).alias(C.RID), F.col("grand_total").alias("total_amount"), F.col("qty").alias("quantity"), "store_id")
+    return A.wrong_types(t)
 
 
 @_query(rf"""select "row", "column", "value", 'email' issue from {_LONG_USERS} where "column" = 'Email' and not {_empty('"value"', S.AUDIT_NULLS)} and not regexp_matches({_trim('"value"')}, '{A.EMAIL_RULE}')
@@ -390,18 +393,63 @@ def s22_levenshtein_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.filter(r >= 0.75).withColumn("ratio", F.round(r, 6))
 
 
-@_query()
+def _similar_sql(a: str, b: str) -> str:
+    """S24 of two columns in match form."""
+    mark = lambda x: rf"regexp_extract({x}, '(?:^|[^\p{{L}}\p{{N}}_])([a-z]|[0-9]+|[ivx]+)$', 1)"
+    words = lambda x: f"list_distinct(string_split({x}, ' '))"
+    both = f"len(list_intersect({words(a)}, {words(b)}))"
+    jac = f"({both} * 1.0 / greatest(len({words(a)}) + len({words(b)}) - {both}, 1))"
+    ratio = f"(1 - levenshtein({a}, {b}) * 1.0 / greatest(length({a}), length({b})))"
+    short = f"(least(length({a}), length({b})) * 1.0 / greatest(length({a}), length({b})))"
+    behind = lambda x, y: f"(instr({x}, ' ') = 2 and substr({x}, 3) = {y})"
+    return f"""case when {a} is null or {b} is null then null when {a} = '' or {b} = '' then 0 when {a} = {b} then 1 when {mark(a)} <> '' and {mark(b)} <> '' and {mark(a)} <> {mark(b)} then 0.2
+when {behind(a, b)} or {behind(b, a)} then 0.92 when {ratio} >= 0.75 then {ratio} when {jac} >= 0.7 then least(0.95, 0.7 + 0.25 * {jac}) when (contains({a}, {b}) or contains({b}, {a})) and {short} >= 0.8 then 0.85 else {ratio} end"""
+
+
+@_query(f"with n as (select rec_id, {_match('original_record.name')} a, {_match('cleaned_record.name')} b from customer_knowledge) select rec_id, round(({_similar_sql('a', 'b')})::double, 6) similarity from n")
 def s24_similarity(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer_knowledge").select("rec_id", S.match_form(F.col("original_record.name")).alias("a"), S.match_form(F.col("cleaned_record.name")).alias("b"))
     return c.select("rec_id", F.round(S.string_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
+@_query(rf"select rec_id, regexp_extract(lower({_trim('cleaned_record.name')}), '(?:^|[^\p{{L}}\p{{N}}_])([a-z]|[0-9]+|[ivx]+)$', 1) mark from customer_knowledge")
+def s23_suffix_marks(spark: SparkSession, d: str) -> DataFrame:
+    return _knowledge(spark, d, "customer").select(F.col(C.RID).alias("rec_id"), S.suffix_mark(F.col("name")).alias("mark"))
+
+
+@_query(rf"""select city_id, case when length(x) between 1 and 10 then x end postal from (select city_id, regexp_replace(regexp_replace({_trim("postal_prefix || ' 001.0'")}, '\.0+$', ''), '\s+', '', 'g') x from city_list)""")
+def s7_postal(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "city_list").select("city_id", S.normalize_postal(F.concat("postal_prefix", F.lit(" 001.0"))).alias("postal"))
+
+
+def _name_sql(s: str) -> str:
+    return rf"""case when {s} <> '' then array_to_string(list_transform(string_split({s}, ' '), lambda x: case when contains(x, '''') then array_to_string(list_transform(string_split(x, ''''), lambda y: upper(y[1]) || lower(y[2:])), '''')
+ when starts_with(lower(x), 'mc') and length(x) > 2 then 'Mc' || upper(x[3]) || lower(x[4:]) else upper(x[1]) || lower(x[2:]) end), ' ') end"""
+
+
+@_query(rf"with v as (select city_id, {_squeeze('state_code')} a, {_squeeze('state')} b from city_list) select city_id, case when length(a) = 2 then upper(a) else {_name_sql('a')} end code, case when length(b) = 2 then upper(b) else {_name_sql('b')} end state from v")
+def s11_state(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "city_list").select("city_id", S.standardize_state(F.col("state_code")).alias("code"), S.standardize_state(F.col("state")).alias("state"))
+
+
+@_query(rf"""select row_id, case when not {_empty('"Name"', S.AUDIT_NULLS)} then row_id::varchar || ' (' || {_trim('"Name"')} || ')' else row_id::varchar end identity from sample_users""")
+def s29_row_identity(spark: SparkSession, d: str) -> DataFrame:
+    u = table(spark, d, "sample_users").select("row_id", "Name", "Email")
+    return u.select("row_id", S.row_identity(u.columns).alias("identity"))
+
+
+@_query(r"select rec_id, regexp_replace(regexp_extract(f, '([^/\\]*)$', 1), '\.[^.]*$', '') base from (select rec_id, '/in/' || metadata.source || '.v' || metadata.file_row || '.csv' f from store_knowledge)")
+def s31_base_names(spark: SparkSession, d: str) -> DataFrame:
+    f = F.concat(F.lit("/in/"), F.col("metadata.source"), F.lit(".v"), F.col("metadata.file_row").cast("string"), F.lit(".csv"))
+    return table(spark, d, "store_knowledge").select("rec_id", S.base_name(f).alias("base"))
+
+
 _ADDR = "lower(" + _trim("a") + ")"
 for _a, _b in S.STREET_WORDS:
     _ADDR = rf"regexp_replace({_ADDR}, '\b{_a}\b', '{_b}', 'g')"
 
 
-@_query(rf"select rec_id, {_squeeze(f'''regexp_replace({_ADDR}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')''')} address from (select rec_id, cleaned_record.address a from customer_knowledge)")
+@_query(rf"select rec_id, {_squeeze(rf'''regexp_replace({_ADDR}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')''')} address from (select rec_id, cleaned_record.address a from customer_knowledge)")
 def s27_address(spark: SparkSession, d: str) -> DataFrame:
     return _knowledge(spark, d, "customer").select(F.col(C.RID).alias("rec_id"), S.normalize_address(F.col("address")).alias("address"))
 
@@ -446,9 +494,36 @@ def b8_canonical_columns(spark: SparkSession, d: str) -> DataFrame:
     return K.to_canonical(_sales(spark, d), CATALOGUE["transaction"])[0]
 
 
-@_query()
+def _std_sql(col: str, kind: str) -> str:
+    ident = rf"case when regexp_matches(regexp_replace({_trim(col)}, '\.0+$', ''), '^[a-zA-Z]+[-\s_]?\d+$') then upper(regexp_replace({_trim(col)}, '\.0+$', '')) else regexp_replace({_trim(col)}, '\.0+$', '') end"
+    bare = rf"regexp_replace(regexp_replace({col}, '(?i)\b(inr|usd|eur|gbp|rs)\b\.?', '', 'g'), '[₹$€£¥,\s]', '', 'g')"
+    num = rf"case when regexp_matches({bare}, '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$') then abs(round(try_cast({bare} as double), 4)) end"
+    day = _date_sql(rf"regexp_replace({_trim(col)}, '[T ]\d{{1,2}}:\d{{2}}.*$', '')")
+    made = {"id": ident, "numeric": num, "date": f"coalesce({day}, {col})", "name": f"coalesce({_name_sql(_squeeze(col))}, {col})"}[kind]
+    return f"case when not {_empty(col, (*S.SHORT_NULLS, '-'))} then {made} end"
+
+
+@_query("with t as (select *, qty::varchar q from retail_transactions) select " + ", ".join(f"{_std_sql(c, k)} {n}" for c, k, n in (("transaction_id", "id", "transaction_id"), ("store_id", "id", "store_id"), ("product_id", "id", "item_id"), ("customer_id", "id", "customer_id"), ("q", "numeric", "quantity"), ("grand_total", "numeric", "total_amount"), ("order_date", "date", "purchase_date"), ("pay_type", "name", "payment_method"))) + " from t")
 def s13_standardized_sales(spark: SparkSession, d: str) -> DataFrame:
-    return K.standardize(K.to_canonical(_sales(spark, d), CATALOGUE["transaction"])[0], CATALOGUE["transaction"])
+    out = K.standardize(K.to_canonical(_sales(spark, d), CATALOGUE["transaction"])[0], CATALOGUE["transaction"])
+    return out.select("transaction_id", "store_id", "item_id", "customer_id", *[F.col(c).try_cast("double").alias(c) for c in ("quantity", "total_amount")], "purchase_date", "payment_method")
+
+
+def _place_sql() -> str:
+    t = _trim("a")
+    turned = r"^([A-Za-z]{2}),\s*([A-Za-z\s]+)$"
+    town = r"(?i)^\d+\s+[A-Za-z0-9.\s]+\s+(?:St|Street|Ave|Avenue|Rd|Road|Blvd)\s*"
+    trim = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    return rf"""with w as (select rec_id, a, {t} s, list_filter(list_transform(string_split({t}, ','), lambda x: {trim('x')}), lambda x: x <> '') p from (select rec_id, cleaned_record.address a from customer_knowledge)),
+v as (select rec_id, not {_empty('a', (*S.SHORT_NULLS, '-'))} ok, regexp_matches(s, '{turned}') t, s, p[-1] st, p[-2] c, {trim(f"regexp_replace(p[-2], '{town}', '')")} plain, len(p) n from w)
+select rec_id, case when ok and t then {trim(f"regexp_extract(s, '{turned}', 2)")} when ok and n >= 2 then case when plain <> '' then plain else c end end city,
+ case when ok and t then upper(regexp_extract(s, '{turned}', 1)) when ok and n >= 2 then case when length(st) = 2 then upper(st) else st end end state from v"""
+
+
+@_query(_place_sql())
+def b11_city_state(spark: SparkSession, d: str) -> DataFrame:
+    city, state = K.city_state(F.col("address"))
+    return _knowledge(spark, d, "customer").select(F.col(C.RID).alias("rec_id"), city.alias("city"), state.alias("state"))
 
 
 def _mixed(spark: SparkSession, d: str) -> DataFrame:
@@ -483,6 +558,21 @@ def x1_emails(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.lower(e).alias("email")).filter("email is not null")
 
 
+def _x1_sql() -> str:
+    t = r"""regexp_replace("text", '\r\n?', chr(10), 'g')"""
+    g = lambda p: f"nullif({_trim(f'''regexp_extract(t, '{p}', 1)''')}, '')"
+    whole = {n: g(f"(?i){p}") for n, _, p in X.TEXT_PATTERNS}
+    line = {n: f"coalesce({g(rf'(?im)^[ \t]*(?:{w})[ \t]*[:=-][ \t]*(.*)$')}, {g(rf'(?im)^[ \t]*(?:{w})[ \t]*[:=-][ \t]*\n\s*(\S[^\n]*)')})" for n, _, w in X.LABELS}
+    cols = {"dob": whole["dob"], "date": f"coalesce({whole['date']}, case when {whole['dob']} is null then {g(r'\b(\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4})\b')} end)", "id_number": whole["id_number"], "amount": f"coalesce({line['amount']}, {whole['amount']})", "organization": line["organization"], "address": line["address"], "city": line["city"]}
+    return f"""with d as (select doc_id, {t} t from documents where "text" is not null) select doc_id, {", ".join(f'{c} "{n}"' for n, c in cols.items())} from d"""
+
+
+@_query(_x1_sql())
+def x1_fields(spark: SparkSession, d: str) -> DataFrame:
+    f = X.identify_fields(F.col("text"))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", *[f[n].alias(n) for n in ("dob", "date", "id_number", "amount", "organization", "address", "city")])
+
+
 @_query()
 def x2_fields(spark: SparkSession, d: str) -> DataFrame:
     return X.extract_fields(table(spark, d, "documents"))
@@ -495,9 +585,10 @@ def x3_records(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def x9_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter("lower(source) like '%hybrid%item%' and text is not null").select(F.col("record_key").alias("id"), "text")
-    out = X.extract_hybrid(docs, "item")
-    return out if out is not None else docs
+    """Customers, items and stores out of the documents of each kind."""
+    docs = table(spark, d, "documents").filter("text is not null").select(F.col("record_key").alias("id"), "text", "entity_type")
+    parts = {k: X.extract_hybrid(docs.filter(F.col("entity_type") == k).drop("entity_type"), k) for k in ("customer", "item", "store")}
+    return C.union_collections({k: p for k, p in parts.items() if p is not None}, "kind")
 
 
 # --------------------------------------------------------------------- matching
@@ -545,9 +636,50 @@ e as (select distinct 'customer' relationship, 'transaction' source_type, t sour
  union all select distinct 'sold', 'store', s, 'product', p from u where s is not null and p is not null) {select}"""
 
 
-@_query(_edge_sql("select * from e"))
+def _named_edge_sql() -> str:
+    key = lambda x: f"upper({_match(x)})"
+    look = lambda n, t, i, c: f"{n} as (select {key(i)} k, arg_min({{'n': {c}}}, rec_id).n n from (select rec_id, cleaned_record.{i} {i}, cleaned_record.{c} {c} from {t}) where {i} is not null group by 1)"
+    method = " ".join(f"when '{e[0]}' then '{e[3]}'" for e in L.EDGES)
+    name = lambda side: f"case {side}_type when 'transaction' then 'Order #' || {side}_id else coalesce({side}_c.n, {side}_p.n, {side}_s.n, {side}_id) end"
+    joins = " ".join(f"left join {t} {side}_{t[0]} on {side}_type = '{kind}' and {side}_{t[0]}.k = {key(f'{side}_id')}" for side in ("source", "target") for t, kind in (("cn", "customer"), ("pn", "product"), ("sn", "store")))
+    looks = ", ".join((look("cn", "customer_knowledge", "customer_id", "name"), look("pn", "item_knowledge", "product_id", "product_name"), look("sn", "store_knowledge", "store_id", "store_name")))
+    return _edge_sql(f", {looks} select relationship, source_type, source_id, {name('source')} source_name, target_type, target_id, {name('target')} target_name, case relationship {method} end method from e {joins}")
+
+
+@_query(_named_edge_sql())
 def m9_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _edges(spark, d).select(*L.SIGNATURE)
+    return _edges(spark, d).select(*L.EDGE_COLUMNS)
+
+
+@_query(rf"""with c as (select rec_id, cleaned_record.customer_id id, cleaned_record."name" n, right(regexp_replace(cleaned_record.phone, '\D', '', 'g'), 10) t from customer_knowledge),
+f as (select t, arg_min({{'id': id, 'n': n}}, rec_id) x from c where length(t) >= 7 group by 1),
+s as (select rec_id, right(regexp_replace({_trim('p')}, '\D', '', 'g'), 10) t from (select rec_id, original_record.phone p from customer_knowledge) where not {_empty('p', S.MATCH_NULLS)})
+select distinct 'customer' relationship, 'transaction' source_type, rec_id::varchar source_id, 'Order #' || rec_id source_name, 'customer' target_type, f.x.id target_id, coalesce(f.x.n, f.x.id) target_name from s join f using (t) where length(t) >= 7 and f.x.id is not null""")
+def c2_phone_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Sales that name a phone instead of a customer."""
+    none = F.lit(None).cast("string")
+    sales = table(spark, d, "customer_knowledge").select(F.col("rec_id").alias("rid"), F.col("rec_id").cast("string").alias("transaction_id"), none.alias("customer_id"), F.col("original_record.phone").alias("customer_phone"), none.alias("product_id"), none.alias("store_id"))
+    people = _knowledge(spark, d, "customer").select(F.col(C.RID).alias("rid"), F.col("customer_id").alias("id"), "name", "phone")
+    return L.transaction_edges(sales, people).drop("at", "method")
+
+
+@_query("""select 'sold' relationship, 'store' source_type, s_suppkey::varchar source_id, s_name source_name, 'product' target_type, l_partkey::varchar target_id, min(p_name) target_name
+from lineitem join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey group by 3, 4, 6""")
+def c6_foreign_edges(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.struct("l_orderkey", "l_linenumber").alias("rid"), F.col("l_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.col("l_suppkey").cast("string").alias("store_id"))
+    stores = table(spark, d, "supplier").select(F.col("s_suppkey").alias("rid"), F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"))
+    return L.foreign_edges(items, stores, "sold", "store").drop("at", "method")
+
+
+@_query(_edge_sql("select * from e where relationship = 'sold' and (contains(lower(source_id), 'str-0000001') or contains(lower(target_id), 'str-0000001'))"))
+def b18_filtered_edges(spark: SparkSession, d: str) -> DataFrame:
+    e = _edges(spark, d).withColumn("source_name", F.col("source_id")).withColumn("target_name", F.col("target_id"))
+    return L.filter_edges(e, "sold", "high", "sales", "STR-0000001").select(*L.SIGNATURE)
+
+
+@_query(_edge_sql(", n as (select count(*) c from e) select 'REL-' || case when length(i::varchar) < 4 then lpad(i::varchar, 4, '0') else i::varchar end edge_id from n, unnest(generate_series(1, c)) t(i)"))
+def e4_edge_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return L.number_edges(_edges(spark, d)).select("edge_id")
 
 
 @_query(_edge_sql("select source_type || '_' || target_type edge_type, count(*) edges, 0.98 mean_confidence from e group by 1"))
@@ -560,6 +692,25 @@ def d20_connected_ends(spark: SparkSession, d: str) -> DataFrame:
     return L.connected_ends(_edges(spark, d))
 
 
+# ----------------------------------------------------------------------- exports
+@_query(r"""with l as (select doc_id, unnest(string_split("text", chr(10))) t, generate_subscripts(string_split("text", chr(10)), 1)::int line from documents where "text" is not null)
+select doc_id, line, regexp_replace(t, '^\s+|\s+$', '', 'g') content from l where regexp_replace(t, '^\s+|\s+$', '', 'g') <> ''""")
+def a20_text_lines(spark: SparkSession, d: str) -> DataFrame:
+    return W.text_table(table(spark, d, "documents"))
+
+
+@_query(f"""select doc_id, email, regexp_matches({_trim('email')}, '{A.EMAIL_RULE}') is_valid from (select doc_id, regexp_extract("text", '([A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+[.][a-zA-Z]{{2,}})', 1) email from documents) where email <> ''""")
+def v2_valid_fields(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "documents").select("doc_id", X.identify_fields(F.col("text"))["email"].alias("value"), F.lit("email").alias("type")).filter("value is not null")
+    return A.validate_fields(e).select("doc_id", F.col("value").alias("email"), "is_valid")
+
+
+@_query(f"""with e as (select count(*) n from ({_check_sql()})) select count(*) records, (select n from e) errors, round(greatest(0, (count(*) - (select n from e)) * 1.0 / count(*)), 4) score from sample_users""")
+def d22_quality_score(spark: SparkSession, d: str) -> DataFrame:
+    u = _users(spark, d)
+    return u.agg(F.count("*").alias("records")).join(A.validate(u).agg(F.count("*").alias("errors"))).withColumn("score", A.quality_score(F.col("records"), F.col("errors")))
+
+
 # -------------------------------------------------------------------- retrieval
 @_query("""with q as (select vec_id query_id, embedding v from embeddings where vec_id % 100 = 0)
 select query_id, id, score, "rank" from (select q.query_id, e.vec_id id, round(list_cosine_similarity(e.embedding::double[], q.v::double[]), 6) score, row_number() over (partition by q.query_id order by round(list_cosine_similarity(e.embedding::double[], q.v::double[]), 6) desc, e.vec_id) "rank" from embeddings e cross join q) where "rank" <= 5 and score >= 0""")
@@ -577,3 +728,13 @@ def r1_embeddings(spark: SparkSession, d: str) -> DataFrame:
 @_query()
 def r9_mapped_headers(spark: SparkSession, d: str) -> DataFrame:
     return R.map_headers(R.schema_knowledge(spark), ["cust_nm", "mob_no", "E-Mail Addr", "zip_cd"], "customer", k=1)
+
+
+@_query()
+def m6_record_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Stored stores that match the stores whose number is divisible by 100."""
+    s = _knowledge(spark, d, "store").withColumnRenamed(C.RID, "doc_id")
+    columns = ["store_id", "store_name", "city", "phone"]
+    stored = s.join(R.embed_texts(s.select("doc_id", R.serialize(columns, "store").alias("text")), "doc_id"), "doc_id").withColumn("entity_type", F.lit("store"))
+    asked = s.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    return R.record_matches(stored, asked, "store", columns).drop("merged")

@@ -156,10 +156,32 @@ def scorecard(audited: DataFrame, actions: dict[str, int] | None = None) -> Data
     of = {"Missing values": "missing", "Duplicates": "duplicates", "Types": "wrong_types", "Validation": "invalid", "Outliers": "outliers", "Formats": "format", "Record matching": "record_matching"}
     spark = audited.sparkSession
     rows = spark.createDataFrame([(i + 1, f, of.get(f, ""), int(actions.get(f, 0))) for i, f in enumerate(FUNDAMENTALS)], "id int, fundamental string, dimension string, actions long")
-    out = rows.join(audited.select("dimension", "issues"), "dimension", "left").withColumn("issues", F.coalesce("issues", F.lit(0)))
+    out = rows.join(F.broadcast(audited.select("dimension", "issues")), "dimension", "left")  # seven rows.withColumn("issues", F.coalesce("issues", F.lit(0)))
     return out.select("id", "fundamental", "issues", "actions", F.when((F.col("issues") == 0) | (F.col("actions") >= F.col("issues")), "Passed").otherwise("Review").alias("status"))
 
 
+def cleaning_actions(metrics: DataFrame) -> dict[str, int]:
+    """Actions for the scorecard out of the cleaning metrics (one row): what cleaning did about each fundamental."""
+    m = metrics.first()
+    return {"Missing values": m.nulls_normalized + m.empty_rows, "Duplicates": m.duplicates_removed, "Text": m.cells_trimmed, "Formats": m.cells_trimmed}
+
+
+def filter_issues(issues: DataFrame, column: str | None = None, text: str | None = None) -> DataFrame:
+    """Issues (row, column, ...) of one column, or with a text in any cell, whatever its case."""
+    out = issues if column is None else issues.filter(F.lower(F.col("column")) == column.lower())
+    if text:
+        out = out.filter(F.exists(F.array(*[F.lower(q(c).cast("string")) for c in out.columns]), lambda x: x.contains(text.lower())))
+    return out
+
+
+def coverage(df: DataFrame, canonical: Sequence[str]) -> DataFrame:
+    """One row: fields expected, columns that are there, columns with a value, and the share of the expected ones that have one."""
+    have = [c for c in canonical if c in df.columns]
+    filled = df.agg(*[F.max((~is_empty(q(c).cast("string"), AUDIT_NULLS)).cast("int")).alias(f"f{i}") for i, c in enumerate(have)]) if have else df.agg(F.lit(0).alias("f0"))
+    n = sum((F.coalesce(F.col(f"f{i}"), F.lit(0)) for i in range(max(1, len(have)))), F.lit(0))
+    return filled.select(F.lit(len(canonical)).alias("expected"), F.lit(len(have)).alias("present"), n.cast("long").alias("filled"), F.round(n / F.lit(max(1, len(canonical))), 4).alias("coverage"))
+
+
 def quality_score(records: Column, errors: Column) -> Column:
     """D22"""
     return F.round(F.greatest(F.lit(0.0), (records - errors) / records), 4)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import audit as A
 from ..operators import extract as X
 from ..operators import link as L
+from ..operators import match as M
 from ..operators import schema as K
 from ..operators.clean import RID, clean_table, cleaning_metrics, data_columns, union_collections
 from ..operators.entities import CATALOGUE
@@ -48,12 +49,16 @@ def process_table(df: DataFrame, name: str, hooks: Hooks = Hooks(), collection:
     hybrid = X.extract_hybrid(df)
     cleaned = clean_table((hybrid.drop("warnings") if hybrid is not None else df))
     out.steps.append(("clean", "completed"))
-    out.reports = {"metrics": cleaning_metrics(df), "profile": profile(cleaned), "audit": A.audit(cleaned), "errors": A.validate(cleaned)}
-    out.reports["scorecard"] = A.scorecard(out.reports["audit"])
     found = K.classify(cleaned, fallback=hooks.classify)
+    metrics = cleaning_metrics(df)
+    matches = M.match_table(cleaned, found.kind)
+    out.reports = {"metrics": metrics, "profile": profile(cleaned), "matches": matches, "audit": A.audit(cleaned, matches), "errors": A.validate(cleaned)}
+    out.reports["scorecard"] = A.scorecard(out.reports["audit"], A.cleaning_actions(metrics))
     if found.kind == "unknown" and collection and (e := K.entity_of_collection(collection)):
         found = K.Classification(e, 0.70, {}, {}, [e])
     out.kind, out.confidence = found.kind, found.confidence
+    if hooks.explain and (told := hooks.explain(cleaned)) is not None:
+        out.reports["explained"] = told
     out.steps.append(("classify", "completed"))
     if found.kind == "mixed":
         out.tables = K.split_mixed(cleaned, found)
@@ -61,6 +66,7 @@ def process_table(df: DataFrame, name: str, hooks: Hooks = Hooks(), collection:
     elif found.kind in CATALOGUE:
         canon, mapping = K.to_canonical(cleaned, CATALOGUE[found.kind])
         out.tables[found.kind] = K.standardize(canon, CATALOGUE[found.kind])
+        out.reports["coverage"] = A.coverage(out.tables[found.kind], list(CATALOGUE[found.kind].fields))
         rows = [(c, t) for t, cs in mapping.items() for c in cs]
         out.reports["mapping"] = df.sparkSession.createDataFrame(rows, "source string, target string")
     else:
@@ -82,7 +88,8 @@ def process_text(texts: DataFrame, name: str, hooks: Hooks = Hooks()) -> Result:
     out.reports = {"audit": A.audit_text(docs)}
     if out.fields is not None:
         out.reports["errors"] = A.validate_fields(out.fields)
-    kinds = K.classify_texts(docs).select("domain", "confidence").limit(1).collect()
+    told = K.classify_texts(docs).groupBy("domain").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("confidence"))
+    kinds = told.orderBy(F.desc("n"), "domain").limit(1).collect()  # the kind of most documents
     if kinds:
         out.kind, out.confidence = kinds[0].domain, kinds[0].confidence
     return out
