@@ -1,13 +1,16 @@
 """Problem 1: matching entities across sources without keys.
 
-Each record is parsed once; the q-grams of name, mailbox, phone and address become fixed 64-bit vectors (one bit a gram).
-Multi-index Hamming hashing finds every pair of records with vectors of one field within its radius exactly: a vector is cut into
-``radius + 1`` blocks, and two vectors within the radius agree in one block at least. A block is only compared among records
-that also share a name key (the first letters of a name word). Errors and short forms change that key, and two errors in a street
-flip up to twelve bits; so what the check accepts is also indexed without a name: mailboxes and phones by the texts with one letter
-left out, addresses by house, unit and town.
-Candidates are scored by field-weighted Dice coefficients, turned into confidences by a fixed calibration curve, and checked
-on the texts themselves. Links are consolidated (problem 3) and the pairs of a group that agree by name are added.
+Each record is parsed once; the q-grams of name, mailbox, phone and address become fixed vectors of ``BITS`` bits (one bit a gram),
+kept as the places of their set bits. Multi-index Hamming hashing finds every pair of mailboxes and of phones within the radius
+exactly: two vectors that lack at most ``RADIUS`` bits of each other agree in ``SAME`` of the ``RADIUS + SAME`` rarest bits each
+has, so each vector is indexed under all choices of ``SAME`` of these. One typing error, a swap of two letters or digits too, is within
+the radius. Different values are searched, not records, and no name is asked for. Addresses are compared where house, unit and
+town agree, as the check demands.
+
+Candidates are scored by the Dice coefficients of their fields. How much a coefficient of a field speaks for a match is fitted on
+all candidates by expectation maximisation (two classes, fields independent within each, the check on the texts as one more
+field), which needs the numbers of candidates by pattern of coefficients only; the posterior is the confidence. Pairs are decided by
+the check. Links are consolidated (problem 3) and the pairs of a group that agree by name are added.
 
 Defined cases: null tokens are missing fields and speak neither for nor against; a record without name is matched by mailbox,
 or phone and address together; exact copies match each other; an empty table gives no pairs.
@@ -17,9 +20,10 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
-from operator import or_
+from functools import lru_cache, reduce
+from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,14 +35,15 @@ from .contacts import filled, mailbox, subscriber
 from .p3_components import connected_groups
 from .strings import edits
 
-#: Hamming radius by field: one error, which flips up to six bits where it swaps two letters or digits.
-RADIUS = {"e": 6, "p": 6}
+#: Width of a vector; a mailbox or phone sets about ten bits.
+BITS = 1024
+#: Bits either of two vectors may lack of the other (a swap changes three grams), and bits of an index entry.
+RADIUS, SAME = 3, 3
 #: Edits without swaps between two streets that ``same_street`` accepts: two swaps make four.
 STREET_EDITS = 4
-#: Weight of each field's Dice coefficient.
-WEIGHT = {"n": 1.0, "e": 1.6, "p": 1.2, "a": 1.0}
-#: Share of true pairs among candidates of two sources by weighted Dice, measured where both records have a known mailbox.
-CALIBRATION = ((0.0, 0.0), (0.5, 0.0), (0.575, 0.02), (0.625, 0.04), (0.675, 0.11), (0.725, 0.25), (0.775, 0.32), (0.825, 0.41), (0.875, 0.70), (0.925, 0.90), (0.975, 0.95), (1.0, 0.99))
+FIELDS = ("n", "e", "p", "a")
+#: Lower bounds of the levels of a Dice coefficient; level 0 is a missing field.
+LEVELS = (0.0, 0.35, 0.65, 0.8, 0.95)
 #: Rows a list of the domain may have to be sent to every task.
 LIST_ROWS = 100_000
 
@@ -60,23 +65,19 @@ def nicknames(listed: DataFrame) -> names.Nicknames:
     return names.Nicknames([*names.COMMON, *[tuple(r) for r in small_list(listed.select("given_name", "nickname"))]])
 
 
-_BIT: dict[str, int] = {}
+@lru_cache(maxsize=500_000)
+def _bit(gram: str) -> int:
+    return zlib.crc32(gram.encode()) % BITS
 
 
-def vector(field: str, words: list[str], q: int = 2) -> int:
-    """Signed 64-bit vector of the padded q-grams of ``words``."""
-    v = 0
-    for w in words:
-        w = f"{field}_{w}_"
-        for i in range(1, len(w) - q + 1):
-            g = field + w[i : i + q]
-            b = _BIT.get(g)
-            if b is None:
-                if len(_BIT) > 500_000:
-                    _BIT.clear()
-                b = _BIT[g] = 1 << (zlib.crc32(g.encode()) & 63)
-            v |= b
-    return v - (1 << 64) if v >> 63 else v
+def vector(field: str, words: list[str], q: int = 2) -> list[int]:
+    """Set bits of the padded q-grams of ``words``."""
+    return sorted({_bit(field + w[i : i + q]) for w in (f"_{x}_" for x in words) for i in range(len(w) - q + 1)})
+
+
+def digits(phone: str) -> list[int]:
+    """Set bits of a phone: pairs of digits with their place, as all have ten."""
+    return sorted({_bit(f"p{i}{phone[i : i + 2]}") for i in range(len(phone) - 1)})
 
 
 def _flat(a: Address) -> str:
@@ -88,8 +89,12 @@ def _address(s: str) -> Address:
     return Address(h[0], h[1], h[2], int(h[3]), *h[4:])
 
 
+_NAMES = ["rec_id", "src", "name", "e", "p", "a", *[f"v{f}" for f in FIELDS]]
+_TYPES = [pa.int64(), *[pa.string()] * 5, *[pa.list_(pa.int16())] * 4]
+
+
 def parse_records(customers: DataFrame, towns: Gazetteer) -> DataFrame:
-    """(rec_id, src, name, mailbox, phone, address, vn, ve, vp, va, nk) of every record; "" where a field is missing."""
+    """(rec_id, src, name, mailbox, phone, address, vn, ve, vp, va) of every record; "" where a field is missing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -99,81 +104,90 @@ def parse_records(customers: DataFrame, towns: Gazetteer) -> DataFrame:
                 name = names.parse(n)
                 e, p = mailbox(e), subscriber(p)
                 place = parse(a, towns) if a else None
-                digits = [p] if p else []
                 where = [place.house, place.unit, place.core, place.town] if place else []
-                keys = sorted({t[:3] for t in name.tokens if len(t) > 2 and t not in names.PARTICLES})
-                out.append((rid, src or "", n if name.tokens else "", e, p, _flat(place) if place else "", vector("n", list(name.tokens)), vector("e", [e]) if e else 0, vector("p", digits), vector("a", where), keys))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 11, _TYPES)], names=_NAMES)
+                out.append((rid, src or "", n if name.tokens else "", e, p, _flat(place) if place else "", vector("n", list(name.tokens)), vector("e", [e]) if e else [], digits(p), vector("a", where)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(_NAMES), _TYPES)], names=_NAMES)
 
     c = F.col("cleaned_record")
     rec = customers.select("rec_id", F.col("metadata.source").alias("src"), *[c[f].alias(f) for f in ("name", "phone", "email", "address")])
-    return rec.mapInArrow(run, "rec_id long, src string, name string, e string, p string, a string, vn long, ve long, vp long, va long, nk array<string>")
-
+    return rec.mapInArrow(run, "rec_id long, src string, name string, e string, p string, a string, " + ", ".join(f"v{f} array<short>" for f in FIELDS))
 
-_NAMES = ["rec_id", "src", "name", "e", "p", "a", "vn", "ve", "vp", "va", "nk"]
-_TYPES = [pa.int64(), *[pa.string()] * 5, *[pa.int64()] * 4, pa.list_(pa.string())]
 
+def near_values(values: DataFrame) -> DataFrame:
+    """(wx, wy), wx < wy: distinct pairs of ``values`` (w, v) whose vectors lack at most ``RADIUS`` bits of each other.
 
-def _blocks(field: str, radius: int) -> list[Column]:
-    """Struct (k, v, r, first) of each block of the field's vector, for the name key ``key``."""
-    v, n = F.col(f"v{field}"), radius + 1
-    out = []
-    for b in range(n):
-        lo, hi = 64 * b // n, 64 * (b + 1) // n
-        block = F.shiftrightunsigned(v, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-        k = F.xxhash64(F.lit(f"{field}{b}"), block, F.col("key"))
-        out.append(F.when(F.col(field) != "", F.struct(k.alias("k"), v.alias("v"), F.lit(radius).cast("byte").alias("r"), F.lit(b == 0).alias("first"))))
-    return out
+    Vectors of fewer than ``2 * RADIUS + SAME`` bits, which may meet one with too few bits for ``SAME`` of them, are also indexed
+    under each of their ``RADIUS + 1`` rarest; those of ``RADIUS`` bits and less only match themselves.
+    """
+    counts = values.select(F.explode("v").alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()  # at most BITS rows
+    rank = [BITS] * BITS
+    for k, r in enumerate(sorted(counts, key=lambda r: (r.n, r.b))):
+        rank[r.b] = k
+    ranks = F.lit(rank) if counts else F.array(F.lit(0))
+    rare = values.filter(F.size("v") > RADIUS).select("w", "v", F.array_sort(F.transform("v", lambda b: F.get(ranks, b.cast("int")))).alias("r"))
+    r = lambda *at: F.xxhash64(F.lit(len(at)), *[F.get("r", F.lit(i)) for i in at])
+    wide = [F.when(F.size("r") > at[-1], r(*at)) for at in combinations(range(RADIUS + SAME), SAME)]
+    short = [F.when(F.size("r") < 2 * RADIUS + SAME, r(i)) for i in range(RADIUS + 1)]
+    index = rare.select("w", "v", F.explode(F.array_compact(F.array(*wide, *short))).alias("k"))
+    x, y = index.toDF("wx", "vx", "k"), index.toDF("wy", "vy", "k")
+    both = F.size(F.array_intersect("vx", "vy"))
+    near = x.join(y, "k").filter((F.col("wx") < F.col("wy")) & (F.size("vx") - both <= RADIUS) & (F.size("vy") - both <= RADIUS))
+    return near.select("wx", "wy").distinct()
 
 
 def near_pairs(rec: DataFrame) -> DataFrame:
-    """(x, y): distinct pairs of records that share a name key and lie within the radius in one field."""
-    keyed = rec.select("rec_id", "e", "p", "ve", "vp", F.explode("nk").alias("key"))
-    rows = keyed.select("rec_id", F.explode(F.array_compact(F.array(*[s for f, r in RADIUS.items() for s in _blocks(f, r)]))).alias("s")).select("rec_id", "s.*")
-    x, y = rows.select(F.col("rec_id").alias("x"), "k", F.col("v").alias("vx"), "r", "first"), rows.select(F.col("rec_id").alias("y"), "k", F.col("v").alias("vy"))
-    hit = (F.col("vx") == F.col("vy")) & F.col("first") | (F.col("vx") != F.col("vy")) & (F.bit_count(F.col("vx").bitwiseXOR(F.col("vy"))) <= F.col("r"))
-    close = x.join(y, "k").filter((F.col("x") < F.col("y")) & hit).select("x", "y")
-    return close.distinct()
-
-
-def _variants(f: str) -> Column:
-    """The text itself and, where one error is allowed, the texts with one letter left out: two texts one error apart share one."""
-    c = F.col(f)
-    cut = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
-    return F.when(F.length(c) > 6, F.array_distinct(F.concat(F.array(c), cut))).otherwise(F.array(c))
-
-
-def tied_pairs(rec: DataFrame) -> DataFrame:
-    """(x, y): distinct pairs of records, whatever their names, with mailboxes or phones one error apart at most, or at one house, unit and town in streets that are near."""
-    one = lambda f: rec.filter(F.col(f) != "").select("rec_id", F.col(f).alias("w"), F.explode(_variants(f)).alias("v")).select("rec_id", "w", F.xxhash64(F.lit(f), "v").alias("k"), (F.col("v") == F.col("w")).alias("whole"))
+    """(x, y), x < y: pairs of records with equal or near mailboxes or phones, whatever their names."""
+    out = []
+    for f in "ep":
+        held = rec.filter(F.col(f) != "").select("rec_id", F.col(f).alias("w"), F.col(f"v{f}").alias("v"))
+        values = near_values(held.groupBy("w").agg(F.first("v").alias("v")))
+        close = values.filter((F.length("wx") > 6) & (F.levenshtein("wx", "wy", 2) >= 0))  # what the check accepts at all
+        at = held.select("rec_id", "w")
+        same = at.toDF("x", "w").join(at.toDF("y", "w"), "w").filter("x < y").select("x", "y")
+        other = close.join(at.toDF("x", "wx"), "wx").join(at.toDF("y", "wy"), "wy").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        out += [same, other]
+    return reduce(DataFrame.unionByName, out)
+
+
+def place_pairs(rec: DataFrame) -> DataFrame:
+    """(x, y), x < y: pairs of records at one house, unit and town in streets that are near."""
     part = F.split("a", r"\|")
-    place = rec.select("rec_id", part[4].alias("w"), F.xxhash64(F.lit("a"), part[0], part[1], part[6]).alias("k"), F.lit(True).alias("whole"), part[0].alias("house")).filter("house <> '' and w <> ''").drop("house")
-    rows = one("e").unionByName(one("p")).unionByName(place)
-    x, y = rows.toDF("x", "wx", "k", "whole_x"), rows.toDF("y", "wy", "k", "whole_y")
-    # equal texts meet under the whole text only; streets may differ by more than the one error of the variants
-    hit = F.when(F.col("wx") == F.col("wy"), F.col("whole_x") & F.col("whole_y")).otherwise(F.levenshtein("wx", "wy", STREET_EDITS) >= 0)
-    return x.join(y, "k").filter((F.col("x") < F.col("y")) & hit).select("x", "y").distinct()
-
-
-def _dice(f: str) -> Column:
-    a, b = F.col(f"x.v{f}"), F.col(f"y.v{f}")
-    return 2 * F.bit_count(a.bitwiseAND(b)) / (F.bit_count(a) + F.bit_count(b))
-
-
-def comparable() -> Column:
-    """Have both records of the pair some field?"""
-    return reduce(or_, [(F.col(f"x.v{f}") != 0) & (F.col(f"y.v{f}") != 0) for f in WEIGHT])
-
-
-def confidence() -> Column:
-    """Calibrated from the weighted Dice coefficients of the fields that both records have."""
-    both = {f: (F.col(f"x.v{f}") != 0) & (F.col(f"y.v{f}") != 0) for f in WEIGHT}
-    top = sum((F.when(both[f], WEIGHT[f] * _dice(f)).otherwise(0.0) for f in WEIGHT), F.lit(0.0))
-    s = top / F.nullif(sum((F.when(both[f], F.lit(WEIGHT[f])).otherwise(0.0) for f in WEIGHT), F.lit(0.0)), F.lit(0.0))
-    curve = F.lit(CALIBRATION[-1][1])
-    for (x0, y0), (x1, y1) in reversed(list(zip(CALIBRATION, CALIBRATION[1:]))):
-        curve = F.when(s <= x1, y0 + (s - x0) * ((y1 - y0) / (x1 - x0))).otherwise(curve)
-    return F.round(F.coalesce(curve, F.lit(0.0)), 4)
+    place = rec.select("rec_id", part[4].alias("w"), F.xxhash64(part[0], part[1], part[6]).alias("k"), part[0].alias("house")).filter("house <> '' and w <> ''").drop("house")
+    x, y = place.toDF("x", "wx", "k"), place.toDF("y", "wy", "k")
+    return x.join(y, "k").filter((F.col("x") < F.col("y")) & (F.levenshtein("wx", "wy", STREET_EDITS) >= 0)).select("x", "y")
+
+
+def pattern() -> Column:
+    """The levels of the Dice coefficients of a pair's fields, as one number."""
+    out = F.lit(0)
+    for f in FIELDS:
+        a, b = F.col(f"x.v{f}"), F.col(f"y.v{f}")
+        dice = 2 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
+        level = F.lit(1)
+        for k, least in enumerate(LEVELS[1:], 2):
+            level = F.when(dice >= least, k).otherwise(level)
+        out = out * (len(LEVELS) + 1) + F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(level)
+    return out.cast("int")
+
+
+def fit_confidence(counts: dict[tuple[int, bool], int], rounds: int = 50) -> dict[tuple[int, bool], float]:
+    """Probability of a match for each (pattern, check) that ``counts`` has, by expectation maximisation from the check's verdict."""
+    keys = sorted(counts)
+    if not keys:
+        return {}
+    n = np.array([counts[k] for k in keys], float)
+    level = np.array([[p // (len(LEVELS) + 1) ** (len(FIELDS) - 1 - i) % (len(LEVELS) + 1) for i in range(len(FIELDS))] + [1 + ok] for p, ok in keys])
+    post = np.where(np.array([ok for _, ok in keys]), 0.95, 0.05)
+    for _ in range(rounds):
+        share = min(0.999, max(0.001, float((post * n).sum() / n.sum())))
+        odds = np.full(len(keys), np.log(share / (1 - share)))
+        for f in range(level.shape[1]):
+            held = level[:, f] > 0  # a missing field says nothing
+            sums = [np.bincount(level[held, f], w[held], len(LEVELS) + 1)[1:] + 0.5 for w in (post * n, (1 - post) * n)]
+            ratio = np.log(sums[0] / sums[0].sum()) - np.log(sums[1] / sums[1].sum())
+            odds[held] += ratio[level[held, f] - 1]
+        post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    return {k: round(float(min(0.9999, max(0.0001, p))), 4) for k, p in zip(keys, post)}
 
 
 def agreement(level: int, ea: str, eb: str, pa_: str, pb: str, aa: str, ab: str) -> bool:
@@ -195,24 +209,23 @@ def _level(x: str, y: str, nick: names.Nicknames) -> int:
 
 
 def _checked(pairs: DataFrame, nick: names.Nicknames) -> DataFrame:
-    cols = ["x", "y", "cross", "conf"]
+    cols = ["x", "y", "cross", "pattern"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nx, ny, *rest = [b.column(c).to_pylist() for c in ("nx", "ny", "ex", "ey", "px", "py", "ax", "ay")]
-            keep = [agreement(_level(p, q, nick), *r) for p, q, *r in zip(nx, ny, *rest)]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in cols], names=cols).filter(pa.array(keep, pa.bool_()))
+            ok = [agreement(_level(p, q, nick), *r) for p, q, *r in zip(nx, ny, *rest)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in cols], pa.array(ok, pa.bool_())], names=[*cols, "ok"])
 
-    return pairs.mapInArrow(run, "x long, y long, cross boolean, conf double")
+    return pairs.mapInArrow(run, "x long, y long, cross boolean, pattern int, ok boolean")
 
 
-def links(rec: DataFrame, nick: names.Nicknames) -> DataFrame:
-    """(x, y, cross, conf): the pairs of records, of one source or two, that the check confirms."""
-    cand = near_pairs(rec).unionByName(tied_pairs(rec)).distinct()
-    side = rec.select("rec_id", "src", "name", "e", "p", "a", "vn", "ve", "vp", "va")
-    found = cand.join(side.alias("x"), F.col("x") == F.col("x.rec_id")).join(side.alias("y"), F.col("y") == F.col("y.rec_id"))
+def candidates(rec: DataFrame, nick: names.Nicknames) -> DataFrame:
+    """(x, y, cross, pattern, ok) of all pairs found, of one source or two; ``ok`` is the verdict of the check on the texts."""
+    cand = near_pairs(rec).unionByName(place_pairs(rec)).distinct()
+    found = cand.join(rec.alias("x"), F.col("x") == F.col("x.rec_id")).join(rec.alias("y"), F.col("y") == F.col("y.rec_id"))
     flat = found.select(
-        F.col("x"), F.col("y"), (F.col("x.src") != F.col("y.src")).alias("cross"), confidence().alias("conf"), F.col("x.name").alias("nx"), F.col("y.name").alias("ny"),
+        F.col("x"), F.col("y"), (F.col("x.src") != F.col("y.src")).alias("cross"), pattern().alias("pattern"), F.col("x.name").alias("nx"), F.col("y.name").alias("ny"),
         *[F.col(f"{s}.{f}").alias(f"{f}{s}") for f in "epa" for s in "xy"],
     )
     return _checked(flat, nick)
@@ -233,18 +246,24 @@ def _grouped(pairs: DataFrame, nick: names.Nicknames) -> DataFrame:
 def match_entities(customers: DataFrame, cities: DataFrame, nicks: DataFrame) -> DataFrame:
     """(rec_a, rec_b, confidence): pairs of records of two sources that mean one person or organisation.
 
-    Pairs that are tied only through other records get theirs from the fields both have, as direct links do; if they have none
-    in common, the least confidence of the links of their group.
+    Pairs that are tied only through other records are as sure as the weakest link of their group, or as their own fields make
+    them, whichever is more.
     """
     towns, nick = gazetteer(cities), nicknames(nicks)
     rec = materialize(parse_records(customers, towns))
-    found = materialize(links(rec, nick))
-    groups = connected_groups(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    seen = materialize(candidates(rec, nick))
+    # a row a pattern: at most 2 * 6 ** 4
+    counts = {(r.pattern, r.ok): r.n for r in seen.groupBy("pattern", "ok").agg(F.count("*").alias("n")).collect()}
+    fitted = fit_confidence(counts)
+    sure = customers.sparkSession.createDataFrame([(p, ok, c) for (p, ok), c in fitted.items()], "pattern int, ok boolean, conf double")
+    found = seen.filter("ok").join(F.broadcast(sure.filter("ok").drop("ok")), "pattern").select("x", "y", "cross", "conf")
+    groups = connected_groups(seen.filter("ok").select(F.col("x").alias("a"), F.col("y").alias("b")))
     weakest = found.join(groups, F.col("x") == F.col("v")).groupBy("root").agg(F.min("conf").alias("least"))
-    member = groups.join(rec.select(F.col("rec_id").alias("v"), "src", "name", "vn", "ve", "vp", "va"), "v")
+    member = groups.join(rec.select(F.col("rec_id").alias("v"), "src", "name", *[f"v{f}" for f in FIELDS]), "v")
     of_group = member.alias("x").join(member.alias("y"), F.col("x.root") == F.col("y.root")).filter("x.v < y.v and x.src <> y.src").join(weakest.alias("g"), F.col("x.root") == F.col("g.root"))
-    conf = F.when(comparable(), confidence()).otherwise(F.col("g.least"))
-    tied = _grouped(of_group.select(F.col("x.v").alias("x"), F.col("y.v").alias("y"), F.col("x.name").alias("nx"), F.col("y.name").alias("ny"), conf.alias("conf")), nick)
+    own = of_group.select(F.col("x.v").alias("x"), F.col("y.v").alias("y"), F.col("x.name").alias("nx"), F.col("y.name").alias("ny"), pattern().alias("pattern"), "least")
+    alone = sure.filter("not ok").select("pattern", F.col("conf").alias("alone"))
+    tied = _grouped(own.join(F.broadcast(alone), "pattern", "left").withColumn("conf", F.greatest("least", F.coalesce("alone", F.lit(0.0)))), nick)
     both = found.filter("cross").select("x", "y", "conf").unionByName(tied)
     return both.groupBy(F.col("x").alias("rec_a"), F.col("y").alias("rec_b")).agg(F.max("conf").alias("confidence"))
 

@@ -69,12 +69,46 @@ def test_entities_of_nothing(spark, cities, nicks):
 
 def test_hamming_is_exact(spark):
     r = random.Random(5)
-    vs = [r.getrandbits(63) for _ in range(40)]
-    vs += [v ^ (1 << r.randrange(63)) ^ (1 << r.randrange(63)) for v in vs] + vs[:3]
-    rows = [(i, "s", "n", "e", "", "", 1, v, 0, 0, ["abc"], False) for i, v in enumerate(vs)]
-    rec = spark.createDataFrame(rows, "rec_id long, src string, name string, e string, p string, a string, vn long, ve long, vp long, va long, nk array<string>, wild boolean")
-    brute = {(i, j) for i, j in itertools.combinations(range(len(vs)), 2) if bin(vs[i] ^ vs[j]).count("1") <= p1_entities.RADIUS["e"]}
-    assert pairs(p1_entities.near_pairs(rec)) == brute
+    vs = [sorted(r.sample(range(p1_entities.BITS), r.randrange(4, 14))) for _ in range(60)]
+    for v in vs[:60]:  # up to three bits out, up to three others in
+        w = set(v) - set(r.sample(v, min(len(v) - 1, r.randrange(4)))) | set(r.sample(range(40), r.randrange(4)))
+        vs.append(sorted(w))
+    vs = [v for v in vs if len(v) > p1_entities.RADIUS]
+    df = spark.createDataFrame([(f"{i:04d}", v) for i, v in enumerate(vs)], "w string, v array<short>")
+    near = lambda x, y: max(len(set(x) - set(y)), len(set(y) - set(x))) <= p1_entities.RADIUS
+    brute = {(f"{i:04d}", f"{j:04d}") for i, j in itertools.combinations(range(len(vs)), 2) if near(vs[i], vs[j])}
+    assert pairs(p1_entities.near_values(df)) == brute and len(brute) > 30
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_one_error_is_within_the_radius(seed):
+    r = random.Random(seed)
+    for _ in range(500):
+        w = "".join(r.choice("abcdef123.") for _ in range(r.randrange(7, 16)))
+        i = r.randrange(len(w) - 1)
+        others = [w[:i] + w[i + 1 :], w[:i] + "z" + w[i:], w[:i] + "z" + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]]
+        d = "".join(r.choice("0123456789") for _ in range(10))
+        k = r.randrange(9)
+        near = [(p1_entities.vector("e", [w]), p1_entities.vector("e", [o])) for o in others] + [(p1_entities.digits(d), p1_entities.digits(o)) for o in (d[:k] + d[k + 1] + d[k] + d[k + 2 :], d[:k] + "7" + d[k + 1 :])]
+        assert all(max(len(set(x) - set(y)), len(set(y) - set(x))) <= p1_entities.RADIUS for x, y in near)
+
+
+def test_confidence_is_calibrated():
+    r = np.random.default_rng(4)
+    true = r.random(40_000) < 0.3
+    at = lambda p, q: np.where(true, r.choice(6, 40_000, p=p), r.choice(6, 40_000, p=q))
+    levels = np.stack([at([0, 0.02, 0.03, 0.1, 0.15, 0.7], [0, 0.2, 0.5, 0.2, 0.05, 0.05]), at([0.4, 0.05, 0, 0, 0.05, 0.5], [0.4, 0.5, 0.05, 0, 0, 0.05]), at([0.3, 0.05, 0, 0, 0.05, 0.6], [0.3, 0.3, 0, 0, 0, 0.4]), at([0.3, 0.1, 0.1, 0.1, 0.1, 0.3], [0.3, 0.3, 0.2, 0.1, 0.05, 0.05])])
+    ok = np.where(true, r.random(40_000) < 0.95, r.random(40_000) < 0.04)
+    keys = [(int(p), bool(o)) for p, o in zip(levels.T @ np.array([216, 36, 6, 1]), ok)]
+    counts = {}
+    for k in keys:
+        counts[k] = counts.get(k, 0) + 1
+    fitted = p1_entities.fit_confidence(counts)
+    c = np.array([fitted[k] for k in keys])
+    for lo in np.arange(0, 1, 0.1):
+        m = (c >= lo) & (c < lo + 0.1)
+        assert m.sum() < 300 or abs(c[m].mean() - true[m].mean()) < 0.08
+    assert p1_entities.fit_confidence({}) == {}
 
 
 def test_entities_by_misspelt_street(spark, cities, nicks):
