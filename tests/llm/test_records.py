@@ -304,3 +304,11 @@ def test_fusion_beats_voting_where_sources_copy(spark):
     voted = right({x.group_id: x.value for x in p6_survivor.plain_vote(df).filter("field = 'name'").collect()})
     print(f"fused {fused:.3f} voted {voted:.3f}")
     assert fused >= 0.9 and fused >= voted + 0.1
+
+
+def test_places_of_both_addresses(spark, cities):
+    rows = [(i + 1, "a", None, None, None, None, t) for i, t in enumerate(["12 Tolin Road, Selsor 578123", "Selsor; #12 Tolin Rd.", "12, Tolni Road, Selsor", "12 Tolin Road, Dormar", None])]
+    got = {(r.rec_id, r.field): r.place_id for r in p2_addresses.address_places(customers(spark, rows), cities).collect()}
+    assert set(got) == {(i, f) for i in range(1, 5) for f in ("cleaned", "original")}
+    assert len({got[(i, f)] for i in (1, 2, 3) for f in ("cleaned", "original")}) == 1 and got[(4, "cleaned")] == got[(4, "original")] != got[(1, "cleaned")]
+    assert p2_addresses.address_places(customers(spark, []), cities).count() == 0
