@@ -312,3 +312,26 @@ def test_places_of_both_addresses(spark, cities):
     assert set(got) == {(i, f) for i in range(1, 5) for f in ("cleaned", "original")}
     assert len({got[(i, f)] for i in (1, 2, 3) for f in ("cleaned", "original")}) == 1 and got[(4, "cleaned")] == got[(4, "original")] != got[(1, "cleaned")]
     assert p2_addresses.address_places(customers(spark, []), cities).count() == 0
+
+
+def test_screen_loses_no_name():
+    nick = names.Nicknames(names.COMMON)
+    r = random.Random(11)
+    given, family = ["Robert", "Bobby", "Anna", "Ann", "Mohammed", "Md", "R", "Jo"], ["Grinobar", "Pelrodale", "Makyel", "de la Cruz", "Vanar", "Vana"]
+    told = ["SemaSadiren", "Sema Sadiren", "Kador Hardware Ltd", "Kador Hdwe", "Kador Motors Pvt Ltd", "Kador & Sons", "Robert", "", "Dr", "Bob Grinobar jr"]
+    for _ in range(250):
+        w = list(f"{r.choice(given)} {r.choice(family)}")
+        for _ in range(r.randrange(4)):
+            at = r.randrange(len(w))
+            w[at : at + 1] = r.choice(["", "a", "e", w[at] + "n", w[at] * 2])
+        told.append("".join(w))
+    screen = p5_names.Screen(nick)
+    rows = screen.rows(told)
+    i, j = (x.ravel() for x in np.indices((len(told), len(told))))
+    may = screen(rows, rows, i, j)
+    one = np.array([p5_names._level(told[a], told[b], nick) >= names.WEAK for a, b in zip(i, j)])
+    assert one.sum() > 500 and not (one & ~may).any()
+    told = [f"{a} {b}" for a in ("Anna", "Ibrahim", "Farida") for b in ("Grinobar", "Pelrodale", "Makyel", "Vanarhut")]
+    rows = screen.rows(told)
+    i, j = (x.ravel() for x in np.indices((12, 12)))
+    assert (screen(rows, rows, i, j) == (i == j)).all()  # one word in common is not enough
