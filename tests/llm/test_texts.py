@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siltstone.llm import p4_neighbours, p7_canonical, p8_packing, p9_mixing, p10_sentences, tokens
@@ -38,6 +39,29 @@ def _clustered(n, seed):
     return x, {(i, int(j)) for i in range(n) for j in np.lexsort((np.arange(n), -s[i]))[:5]}
 
 
+def test_a_task_holds_a_slice_of_the_queries():
+    x, best = _clustered(1000, 3)
+    read = 0
+
+    def batches():
+        nonlocal read
+        for g, base, ids in [(4, True, range(1000)), *[(4, False, range(5000 + lo, 5000 + lo + 1000)) for lo in range(0, 20_000, 1000)], (5, False, range(10)), (6, True, range(30_000, 30_003))]:
+            read += 1
+            v = [x[i % 1000].tobytes() for i in ids]
+            ask = [base is False or i % 2 == 0 for i in ids]
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(v), pa.int32()), pa.array(list(ids), pa.int64()), pa.array([base] * len(v)), pa.array(ask), pa.array(v, pa.binary())], names=["g", "id", "base", "ask", "v"])
+
+    got, early = [], 0
+    for b in p4_neighbours.search_groups(batches(), 5, 64):
+        assert b.num_rows <= 6 * p4_neighbours.SLICE
+        early += read < 5
+        got += zip(*[c.to_pylist() for c in b.columns])
+    assert early > 3  # lists come before the other queries are read
+    assert {(q, o) for q, o, _ in got if q < 1000 and q != o} == {p for p in best if p[0] % 2 == 0}
+    assert {((q - 5000) % 1000, o) for q, o, _ in got if 5000 <= q < 30_000 and (q - 5000) % 1000 != o} == best
+    assert len(got) == 500 * 6 + 20_000 * 6 + 2 * 3
+
+
 def test_parts_are_balanced_and_keep_neighbours():
     x, best = _clustered(1500, 1)
     near = p4_neighbours.neighbour_graph(x, 8)
