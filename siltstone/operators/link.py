@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,20 +146,33 @@ def key_links(records: DataFrame) -> DataFrame:
 def name_links(records: DataFrame, alike: float = 0.90, alike_in_city: float = 0.82) -> DataFrame:
     """Records of one domain in two files with names at least ``alike``, or ``alike_in_city`` in one city.
 
-    Distinct (domain, file, name, city) are compared, blocked by the beginnings of two words or by the ends of a word, so that no
-    nested loop over all pairs arises.
+    Different names are compared, once each, blocked by the beginnings or the ends of words, so that no nested loop over all
+    pairs arises. Rows of alike names hang together through the first of each file, which ties them like all pairs would.
     """
     n = records.select("gid", "domain", "filename", F.col("descriptive")["name"].alias("name"), F.col("descriptive")["city"].alias("city")).filter("name is not null")
-    d = n.groupBy("domain", "filename", "name", "city").agg(F.min("gid").alias("gid"))
+    d = materialize(n.groupBy("domain", "filename", "name", "city").agg(F.min("gid").alias("gid")))
     words = F.split("name", " ")
     heads = F.array_sort(F.transform(words, lambda x: F.substring(x, 1, 3)))
     keys = F.array_distinct(F.concat(F.transform(heads, lambda x: F.concat(F.lit("h"), x)), F.transform(words, lambda x: F.concat(F.lit("t"), F.right(x, F.lit(4))))))
-    long = d.withColumn("k", F.explode(keys))
-    a, b = long.alias("a"), long.alias("b")
-    near = a.join(b, (F.col("a.domain") == F.col("b.domain")) & (F.col("a.k") == F.col("b.k"))).filter((F.col("a.gid") < F.col("b.gid")) & (F.col("a.filename") != F.col("b.filename")))
-    pairs = near.select(F.col("a.gid").alias("a"), F.col("b.gid").alias("b"), F.col("a.name").alias("x"), F.col("b.name").alias("y"), (F.col("a.city") == F.col("b.city")).alias("same_city")).dropDuplicates(["a", "b"])
-    s = S.string_similarity(F.col("x"), F.col("y"))
-    links = pairs.withColumn("s", s).filter((F.col("s") >= alike) | (F.coalesce("same_city", F.lit(False)) & (F.col("s") >= alike_in_city))).select("a", "b")
+    told = d.select("domain", "name").distinct()
+    long = told.withColumn("k", F.explode(keys))
+    pairs = long.toDF("domain", "x", "k").join(long.toDF("domain", "y", "k"), ["domain", "k"]).filter("x < y").select("domain", "x", "y").distinct()
+    least = min(alike, alike_in_city)
+    if least > 0.2:  # cheap conditions, one of which holds for every likeness above that of other suffixes
+        x, y, longest = F.col("x"), F.col("y"), F.greatest(F.length("x"), F.length("y"))
+        edits = (1 - least) * longest + 1e-6
+        tokens = [F.array_distinct(F.split(c, " ")) for c in (x, y)]
+        shared = F.size(F.array_intersect(*tokens)) >= 0.7 * F.greatest(*[F.size(t) for t in tokens]) - 1e-6
+        pairs = pairs.filter(x.contains(y) | y.contains(x) | shared | ((F.abs(F.length("x") - F.length("y")) <= edits) & (F.levenshtein("x", "y") <= edits)))
+    near = materialize(pairs.withColumn("s", S.string_similarity(F.col("x"), F.col("y"))).filter(F.col("s") >= least))
+    sure = near.filter(F.col("s") >= alike)
+    ways = reduce(DataFrame.unionByName, [told.select("domain", F.col("name").alias("x"), F.col("name").alias("y")), sure.select("domain", "x", "y"), sure.select("domain", F.col("y").alias("x"), F.col("x").alias("y"))])
+    lead = d.groupBy("domain", F.col("name").alias("x"), F.col("filename").alias("fx")).agg(F.min("gid").alias("a"))
+    rows = d.select("domain", F.col("name").alias("y"), F.col("filename").alias("fy"), F.col("city").alias("cy"), F.col("gid").alias("b"))
+    tied = ways.join(lead, ["domain", "x"]).join(rows, ["domain", "y"]).filter("fx <> fy").select("a", "b")
+    own = d.select("domain", F.col("name").alias("x"), F.col("filename").alias("fx"), F.col("city").alias("cy"), F.col("gid").alias("a"))
+    in_city = near.filter((F.col("s") >= alike_in_city) & (F.col("s") < alike)).join(own, ["domain", "x"]).join(rows, ["domain", "y", "cy"]).filter("fx <> fy").select("a", "b")
+    links = tied.unionByName(in_city).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # rows of one name, city and file hang together through their first
     same = n.join(d.withColumnRenamed("gid", "first"), (n.domain == d.domain) & (n.filename == d.filename) & (n.name == d.name) & n.city.eqNullSafe(d.city)).select(F.col("first").alias("a"), n.gid.alias("b")).filter("a <> b")
     linked = links.select(F.explode(F.array("a", "b")).alias("a")).distinct()

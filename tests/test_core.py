@@ -284,3 +284,15 @@ def test_phone_edges_and_cluster_numbers(spark):
     assert [(e.source_id, e.target_id, e.target_name) for e in L.transaction_edges(sales, people).collect()] == [("T1", "C1", "Ravi")]
     rows = spark.createDataFrame([(i * 7,) for i in range(50)], "root long").repartition(5)
     assert [(r.root, r.n) for r in L.numbered_rows(rows, "root").orderBy("n").collect()] == [(i * 7, i + 1) for i in range(50)] and L.numbered_rows(rows.limit(0), "root").count() == 0
+
+
+def test_name_links_grow_with_the_rows(spark):
+    rows = [(k * 100 + i, "store", f"{k}.csv", "old town mart" if i % 2 else "old town marts", f"c{i}" if i else None) for k in (1, 2) for i in range(20)]
+    df = spark.createDataFrame([(g, d, f, {"name": n} | ({"city": c} if c else {})) for g, d, f, n, c in rows], "gid bigint, domain string, filename string, descriptive map<string,string>")
+    links = {(r.a, r.b) for r in L.name_links(df).collect()}
+    assert 39 <= len(links) <= 80  # all 400 pairs before
+    root = {r[0]: r[0] for r in rows}
+    for _ in range(40):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert set(root.values()) == {100}
