@@ -176,6 +176,32 @@ def test_components_of_nothing(spark):
     assert p3_components.linked_groups(customers(spark, [(1, "a", None, None, "0000000000", None, None), (2, "a", "n/a", None, "0000000000", None, None)])).count() == 0
 
 
+def jobs(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    out = run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+@pytest.mark.parametrize("last", [0, 40, 200_000])
+def test_components_end_in_one_task(spark, monkeypatch, last):
+    """Chains of 1 to 60 vertices: whole whether levels or one task join what is left, and few jobs (the driver's memory) by the task."""
+    monkeypatch.setattr(p3_components, "LAST", last)
+    edges = [(1000 * k + i + 1, 1000 * k + i) for k in range(1, 61) for i in range(k)]
+    got, n = jobs(spark, f"components {last}", lambda: p3_components.connected_groups(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert sorted(r.v for r in got) == sorted({v for e in edges for v in e})
+    assert len({(r.v // 1000, r.root) for r in got}) == len({r.root for r in got}) == 60
+    assert n <= 30 or last < 200_000
+
+
+def test_mailboxes_and_phones_are_searched_at_once(spark):
+    rows = [(1, "abcdefg.one", "9876543210"), (2, "abcdefg.onx", "1234567899"), (3, "9876543210", "9876543201"), (4, "", "9876543210"), (5, "abcdefg.one", ""), (6, "abc", ""), (7, "abd", "")]
+    rec = spark.createDataFrame([(i, e, p, p1_entities.vector("e", [e]) if e else [], p1_entities.digits(p)) for i, e, p in rows], "rec_id long, e string, p string, ve array<short>, vp array<short>")
+    near, n = jobs(spark, "near", lambda: {(r.x, r.y) for r in p1_entities.near_pairs(rec).collect()})
+    assert near == {(1, 2), (1, 5), (2, 5), (1, 4), (1, 3), (3, 4)}  # mailbox of 3 is no phone
+    assert n <= 16
+
+
 def test_linked_groups(spark):
     rows = [(4, "a", "cus-1", None, None, None, None), (2, "b", "CUS 1", None, "tel: 9876543210", None, None), (9, "c", None, None, "+91 98765 43210", None, None), (7, "c", "x", None, "12345", None, None)]
     assert {(r.rec_id, r.group_id) for r in p3_components.linked_groups(customers(spark, rows)).collect()} == {(4, 2), (2, 2), (9, 2)}
